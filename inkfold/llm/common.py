@@ -11,6 +11,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: A-Z to a-z on UTF-8 bytes; every other byte stays.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -49,12 +50,6 @@ def id_remainder(id_col: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def arrow_type(kind: T.DataType) -> pa.DataType:
-    """The Arrow type of a simple Spark type."""
-    known = {T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.StringType: pa.string(), T.DoubleType: pa.float64(), T.BooleanType: pa.bool_(), T.BinaryType: pa.binary()}
-    return known[type(kind)]
-
-
 def map_texts(
     docs: DataFrame,
     fn: Callable[[list[bytes | None]], dict[str, list]],
@@ -72,7 +67,7 @@ def map_texts(
     """
     keep = [f for f in docs.schema.fields if f.name != text_col]
     schema = T.StructType([*keep, *fields])
-    names, kinds = [f.name for f in fields], [arrow_type(f.dataType) for f in fields]
+    names, kinds = [f.name for f in fields], [to_arrow_type(f.dataType) for f in fields]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

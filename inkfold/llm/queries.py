@@ -1,9 +1,17 @@
 """Queries of the training-data operators: name -> function of (spark, sf_dir)."""
 
+from inkfold.llm.bpe import op3_bpe
+from inkfold.llm.secrets import op1_secrets
+from inkfold.llm.sharding import op8_sharding
 from inkfold.llm.simhash import op4_simhash
+from inkfold.llm.token_counts import op10_token_counts
 
 QUERIES = {
+    "op1_secrets": op1_secrets,
+    "op3_bpe": op3_bpe,
     "op4_simhash": op4_simhash,
+    "op8_sharding": op8_sharding,
+    "op10_token_counts": op10_token_counts,
 }
 
 #: DuckDB SQL with the same result, where SQL can express it.

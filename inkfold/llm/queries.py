@@ -1,6 +1,7 @@
 """Queries of the training-data operators: name -> function of (spark, sf_dir)."""
 
 from inkfold.llm.bpe import op3_bpe
+from inkfold.llm.quality_rules import op5_quality_rules
 from inkfold.llm.secrets import op1_secrets
 from inkfold.llm.sharding import op8_sharding
 from inkfold.llm.simhash import op4_simhash
@@ -10,6 +11,7 @@ QUERIES = {
     "op1_secrets": op1_secrets,
     "op3_bpe": op3_bpe,
     "op4_simhash": op4_simhash,
+    "op5_quality_rules": op5_quality_rules,
     "op8_sharding": op8_sharding,
     "op10_token_counts": op10_token_counts,
 }

@@ -2,6 +2,7 @@
 
 from inkfold.llm.bpe import op3_bpe
 from inkfold.llm.language_model import op9_lm_scoring
+from inkfold.llm.quality_classifier import op7_quality_classifier
 from inkfold.llm.quality_rules import op5_quality_rules
 from inkfold.llm.secrets import op1_secrets
 from inkfold.llm.sharding import op8_sharding
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_simhash": op4_simhash,
     "op5_quality_rules": op5_quality_rules,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_sharding": op8_sharding,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_token_counts": op10_token_counts,

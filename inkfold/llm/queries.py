@@ -1,6 +1,7 @@
 """Queries of the training-data operators: name -> function of (spark, sf_dir)."""
 
 from inkfold.llm.bpe import op3_bpe
+from inkfold.llm.decontamination import op6_decontamination
 from inkfold.llm.language_model import op9_lm_scoring
 from inkfold.llm.quality_classifier import op7_quality_classifier
 from inkfold.llm.quality_rules import op5_quality_rules
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_simhash": op4_simhash,
     "op5_quality_rules": op5_quality_rules,
+    "op6_decontamination": op6_decontamination,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_sharding": op8_sharding,
     "op9_lm_scoring": op9_lm_scoring,

@@ -2,6 +2,7 @@
 
 from inkfold.llm.bpe import op3_bpe
 from inkfold.llm.decontamination import op6_decontamination
+from inkfold.llm.html_text import op2_html
 from inkfold.llm.language_model import op9_lm_scoring
 from inkfold.llm.quality_classifier import op7_quality_classifier
 from inkfold.llm.quality_rules import op5_quality_rules
@@ -12,6 +13,7 @@ from inkfold.llm.token_counts import op10_token_counts
 
 QUERIES = {
     "op1_secrets": op1_secrets,
+    "op2_html": op2_html,
     "op3_bpe": op3_bpe,
     "op4_simhash": op4_simhash,
     "op5_quality_rules": op5_quality_rules,

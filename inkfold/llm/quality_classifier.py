@@ -17,16 +17,18 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 from operator import eq
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from inkfold.llm.common import id_remainder, map_texts
+from inkfold.llm.common import id_remainder, map_texts, slices
 
 #: Dimensions of index vectors; +1 and -1 entries of one.
 DIM, NONZERO = 96, 6
@@ -221,6 +223,27 @@ def classify_documents(docs: DataFrame, model: tuple[Vectors, Network] | None, t
     return made.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def keep_good(docs: DataFrame, model: tuple[Vectors, Network] | None, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, all columns, with a score of at least the threshold. Without a classifier all rows stay."""
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, (vectors, net) = shared.value
+        if name not in _NEW:
+            _NEW.clear()
+            _NEW[name] = {}
+        for whole in batches:
+            for batch in slices(whole, at, 2000, 16_000_000):
+                texts = batch.column(at).cast(pa.large_binary()).to_pylist()
+                good = net.scores(vectors.pool([vectors.rows(t, _NEW[name]) for t in texts]).astype(np.float64)) >= threshold
+                yield batch.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_quality_classifier(spark, sf_dir: str) -> DataFrame:
     """Quality scores of all documents."""
     from inkfold.llm.common import documents

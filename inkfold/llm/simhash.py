@@ -21,18 +21,18 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_digest
 
-from inkfold.llm.common import LOWER, id_text, map_texts, stored
+from inkfold.llm.common import LOWER, map_texts, stored
 from inkfold.llm.components import connected_components
 
 #: Shingles hashed at a time: bounds memory for very long texts.
 RUN = 50_000
 #: Rows of a group from which the breadth-first search replaces the list of all row-word items.
-SEARCH_FROM = 48
+SEARCH_FROM = 2048
 #: Row-word items compared at a time.
 ITEMS = 32_768
 
@@ -74,8 +74,8 @@ def fingerprint(text: bytes | None, words: int = 4, lanes: int = 1, seed: int =
     return np.packbits(counts * 2 > total).tobytes()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, lanes: int = 1, seed: int = 42) -> DataFrame:
-    """(doc_id, fp binary) for every row; null ids and repeated rows stay."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, lanes: int = 1, seed: int = 42, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, columns in extra, fp binary) for every row; null ids and repeated rows stay."""
 
     def run(texts: list[bytes | None]) -> dict[str, list]:
         known: dict[bytes | None, bytes] = {}
@@ -87,7 +87,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out.append(fp)
         return {"fp": out}
 
-    return map_texts(id_text(docs, id_col, text_col), run, [T.StructField("fp", T.BinaryType())])
+    rows = docs.select(F.col(id_col).alias("doc_id"), *extra, F.col(text_col).alias("__text"))
+    return map_texts(rows, run, [T.StructField("fp", T.BinaryType())], "__text")
 
 
 # ------------------------------------------------------- bit-sliced comparison
@@ -200,28 +201,51 @@ def _search(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     words = planes.shape[1]
     fresh = _bits_between(np.arange(words), np.zeros(words, np.int64), np.full(words, n))
     out: list[tuple[int, int]] = []
-    nxt, queue = 0, []
-    while True:
-        if not queue:
-            # several seeds at once: links between them are found by the rows themselves
-            while nxt < n and not int(fresh[nxt >> 6]) >> (nxt & 63) & 1:
-                nxt += 1
-            if nxt == n:
-                return out
-            fresh[nxt >> 6] &= ~(np.uint64(1) << np.uint64(nxt & 63))
-            queue = [nxt]
+    ones = np.uint64(1)
+
+    def bit(row: int) -> np.uint64:
+        return ones << np.uint64(row & 63)
+
+    def near_fresh(rows: list[int]) -> list[list[int]]:
+        """(row, fresh row) pairs within the radius."""
         ahead = np.flatnonzero(fresh)
         if not len(ahead):
-            return out
-        step = max(1, ITEMS // len(ahead))
-        now, queue = queue[:step], queue[step:]
-        q, w = np.repeat(np.array(now), len(ahead)), np.tile(ahead, len(now))
-        for a, b in _pairs(*near(planes, flips, q, w, fresh[w], radius)).tolist():
-            if int(fresh[b >> 6]) >> (b & 63) & 1:
-                fresh[b >> 6] &= ~(np.uint64(1) << np.uint64(b & 63))
+            return []
+        q, w = np.repeat(np.array(rows), len(ahead)), np.tile(ahead, len(rows))
+        own = np.where(q >> 6 == w, ones << (q & 63).astype(np.uint64), np.uint64(0))
+        return _pairs(*near(planes, flips, q, w, fresh[w] & ~own, radius)).tolist()
+
+    def reach(pairs: list[list[int]]) -> None:
+        for a, b in pairs:
+            if fresh[b >> 6] & bit(b):
+                fresh[b >> 6] &= ~bit(b)
                 out.append((a, b))
                 queue.append(b)
 
+    nxt, queue = 0, []
+    while True:
+        step = max(1, ITEMS // max(1, np.count_nonzero(fresh)))
+        if queue:
+            now, queue = queue[:step], queue[step:]
+            reach(near_fresh(now))
+            continue
+        # seeds without a fresh neighbour are complete; the first with one starts the next tree
+        seeds = []
+        while nxt < n and len(seeds) < step:
+            if fresh[nxt >> 6] & bit(nxt):
+                seeds.append(nxt)
+            nxt += 1
+        if not seeds:
+            return out
+        pairs = near_fresh(seeds)
+        start = min((a for a, _ in pairs), default=n)
+        for a in seeds:
+            if a <= start:
+                fresh[a >> 6] &= ~bit(a)
+        if start < n:
+            nxt = start + 1
+            reach([p for p in pairs if p[0] == start])
+
 
 def links(group: np.ndarray, fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """A spanning forest of the links at `radius` or fewer bits between rows of the same group. Rows are sorted by group."""
@@ -258,28 +282,41 @@ def links(group: np.ndarray, fps: np.ndarray, radius: int) -> list[tuple[int, in
 # ------------------------------------------------------------------ Spark plan
 
 
-def _blocks(bits: int, radius: int) -> list[tuple[int, int]]:
+def _blocks(bits: int, radius: int) -> list[list[int]]:
     """radius + 1 ranges of bits, as even as can be."""
     cut = np.linspace(0, bits, radius + 2).round().astype(int)
-    return list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+    return [list(range(a, b)) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+
+
+def _bands(bits: int, rows: int, share: float, missed: float = 0.003, seed: int = 3) -> list[list[int]]:
+    """Random sets of bits, so that two fingerprints that agree in a share of their bits agree in all bits of a set, up to a chance of `missed`.
+
+    The sets grow with the logarithm of the number of rows, so that the mean
+    bucket stays near a hundred rows; the smaller chance of a match is made up
+    for by more sets.
+    """
+    width = min(24, max(10, (max(rows, 1) // 128).bit_length()))
+    count = int(np.ceil(np.log(missed) / np.log1p(-(share**width))))
+    rng = np.random.default_rng(seed)
+    return [sorted(rng.choice(bits, width, replace=False).tolist()) for _ in range(count)]
 
 
-def _to_buckets(blocks: list[tuple[int, int]]):
+def _to_buckets(sets: list[list[int]]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(0)
-            fps = np.frombuffer(b"".join(column.to_pylist()), np.uint8)
             if not len(column):
                 continue
-            bits = np.unpackbits(fps.reshape(len(column), -1), axis=1).astype(np.int64)
-            for k, (a, b) in enumerate(blocks):
-                key = bits[:, a:b] @ (1 << np.arange(b - a, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([column, pa.array(key * len(blocks) + k, pa.int64())], names=["fp", "bucket"])
+            fps = np.frombuffer(b"".join(column.to_pylist()), np.uint8)
+            bits = np.unpackbits(fps.reshape(len(column), -1), axis=1)
+            for k, at in enumerate(sets):
+                key = bits[:, at].astype(np.int64) @ (1 << np.arange(len(at), dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([column, pa.array(key * len(sets) + k, pa.int64())], names=["fp", "bucket"])
 
     return run
 
 
-def _to_links(radius: int, at_most: int = 60_000):
+def _to_links(radius: int):
     """Sorted (bucket, pair, fp) rows in, links out; a group that spans batches is held until it is whole."""
 
     def emit(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,14 +352,16 @@ def _to_links(radius: int, at_most: int = 60_000):
     return run
 
 
-def link_table(fps: DataFrame, bits: int, radius: int = 4, chunk: int = 4096) -> DataFrame:
+def link_table(fps: DataFrame, sets: list[list[int]], radius: int = 4, chunk: int = 4096) -> DataFrame:
     """Links (a, b) between distinct fingerprints: all links of each bucket, as a spanning forest.
 
-    fps: (fp binary), each value once. The components of the result are those
-    of the full graph of pairs at `radius` or fewer bits.
+    fps: (fp binary), each value once. sets: rows that agree in all bits of a
+    set meet in a bucket. If the sets are blocks by the pigeonhole principle,
+    the components of the result are those of the full graph of pairs at
+    `radius` or fewer bits.
     """
     spark = fps.sparkSession
-    rows = stored(fps.select("fp").mapInArrow(_to_buckets(_blocks(bits, radius)), "fp binary, bucket long"))
+    rows = stored(fps.select("fp").mapInArrow(_to_buckets(sets), "fp binary, bucket long"))
     counts = rows.groupBy("bucket").count().where("count > 1")
     hot = counts.where(F.col("count") > chunk).select("bucket", F.ceil(F.col("count") / chunk).cast("int").alias("parts"))
     few = rows.join(counts.where(F.col("count") <= chunk).select("bucket"), "bucket", "left_semi").select("fp", "bucket", F.lit(0).alias("part_a"), F.lit(0).alias("part_b"))
@@ -337,6 +376,15 @@ def link_table(fps: DataFrame, bits: int, radius: int = 4, chunk: int = 4096) ->
     return few.union(many).repartition(n, *key).sortWithinPartitions(*key).mapInArrow(_to_links(radius), "a binary, b binary")
 
 
+def _named(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(fp, root, component_id) for every node (fp, least), from component labels (node, root)."""
+    named = labels.join(nodes, labels["node"] == nodes["fp"]).select("fp", "root", "least")
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    linked = stored(named.join(least, "root").select("fp", "root", "component_id"))
+    alone = nodes.join(linked, "fp", "left_anti").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
+    return linked.union(alone)
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -354,12 +402,133 @@ def near_duplicates(
     """
     each = stored(fingerprints(docs, id_col, text_col, words, lanes))
     nodes = stored(each.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    labels = connected_components(link_table(nodes, 64 * lanes, radius, chunk))
-    named = labels.join(nodes, labels["node"] == nodes["fp"]).select("fp", "root", "least")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = stored(named.join(least, "root").select("fp", "component_id"))
-    alone = nodes.join(linked, "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
-    return each.join(linked.union(alone), "fp").select("doc_id", "fp", "component_id")
+    labels = connected_components(link_table(nodes, _blocks(64 * lanes, radius), radius, chunk))
+    return each.join(_named(nodes, labels), "fp").select("doc_id", "fp", "component_id")
+
+
+def similarity_radius(bits: int, similarity: float, slack: float = 1.0) -> int:
+    """Differing bits that fingerprints of texts with this Jaccard similarity show on average, and `slack` standard deviations more.
+
+    A bit differs with a chance of the angle between the shingle counts over
+    pi; sets of a Jaccard similarity s and of equal size have a cosine of
+    2 s / (1 + s).
+    """
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(bits * p + slack * np.sqrt(bits * p * (1 - p)))
+
+
+def shingle_set(text: bytes | None, words: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's word shingles."""
+    parts = (text or b"").translate(LOWER).split()
+    grams = map(b" ".join, zip(*(parts[k:] for k in range(words)), strict=False)) if len(parts) >= words else [b" ".join(parts)] if parts else []
+    return np.unique(np.frombuffer(b"".join(map(xxh64_digest, grams, repeat(42))), ">u8").astype(np.uint64))
+
+
+def jaccard_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose sets have at least this Jaccard similarity. Empty sets link to each other.
+
+    Each set's intersections with all later ones are counted at once, from
+    the lists of sets that hold an element.
+    """
+    size = np.array([len(x) for x in sets])
+    element, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(element, kind="stable")
+    element, owner = element[order], owner[order]
+    pairs = []
+    empty = np.flatnonzero(size == 0).tolist()
+    pairs += [(empty[0], x) for x in empty[1:]]
+    for i, x in enumerate(sets):
+        lo, hi = np.searchsorted(element, x, "left"), np.searchsorted(element, x, "right")
+        n = hi - lo
+        n_all = int(n.sum())
+        if n_all > len(x):
+            at = np.repeat(lo, n) + np.arange(n_all) - np.repeat(np.cumsum(n) - n, n)
+            common = np.bincount(owner[at], minlength=len(sets))
+            for j in np.flatnonzero(common >= similarity * (size + size[i] - common) - 1e-9).tolist():
+                if j > i and common[j]:
+                    pairs.append((i, j))
+    return _forest(np.array(pairs, np.int64).reshape(-1, 2))
+
+
+def _to_verified(similarity: float):
+    """Sorted (root, fp, grams) rows in, verified links out, group by group."""
+
+    def emit(fps: list[bytes], grams: list[bytes]) -> Iterator[pa.RecordBatch]:
+        found = jaccard_links([np.frombuffer(g, np.uint64) for g in grams], similarity)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([fps[a] for a, _ in found], pa.binary()), pa.array([fps[b] for _, b in found], pa.binary())], names=["a", "b"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, fps, grams = None, [], []
+        for batch in batches:
+            for r, f, g in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("root", "fp", "grams")), strict=True):
+                if r != root:
+                    yield from emit(fps, grams) if len(fps) > 1 else ()
+                    root, fps, grams = r, [], []
+                if not fps or fps[-1] != f:
+                    fps.append(f)
+                    grams.append(g)
+        yield from emit(fps, grams) if len(fps) > 1 else ()
+
+    return run
+
+
+def similar_groups(docs: DataFrame, each: DataFrame, id_col: str, text_col: str, words: int, similarity: float, lanes: int, chunk: int, most: int) -> DataFrame:
+    """(fp, root, component_id) for every distinct fingerprint of each (doc_id, fp): components of pairs with at least this Jaccard similarity.
+
+    Fingerprints within a wide radius (2.5 standard deviations beyond the
+    similarity) are candidates; they form loose components. In a loose
+    component of at most `most` fingerprints, all pairs are verified on the
+    whole shingle sets, in one task. In a larger one, which no task should
+    hold, the fingerprints' own estimate decides.
+    """
+    spark = docs.sparkSession
+    bits = 64 * lanes
+    nodes = stored(each.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    share = 1 - similarity_radius(bits, similarity, 0) / bits
+    sets = _bands(bits, nodes.count(), share)
+    loose = stored(connected_components(link_table(nodes, sets, similarity_radius(bits, similarity, 2.5), chunk)))
+    sizes = loose.groupBy("root").count()
+    few = loose.join(sizes.where(F.col("count") <= most), "root").select(F.col("node").alias("fp"), "root")
+    chosen = few.join(nodes.where("least is not null"), "fp").select(F.col("least").alias("__id"), F.col("root").alias("__root"), F.col("fp").alias("__fp"))
+    texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")).join(chosen, F.col("__doc") == F.col("__id")).select("__root", "__fp", "__text")
+
+    def run(rows: list[bytes | None]) -> dict[str, list]:
+        return {"fp": [fingerprint(t, words, lanes) for t in rows], "grams": [shingle_set(t, words).tobytes() for t in rows]}
+
+    made = map_texts(texts, run, [T.StructField("fp", T.BinaryType()), T.StructField("grams", T.BinaryType())], "__text").where("fp = __fp")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    exact = made.select(F.col("__root").alias("root"), "fp", "grams").repartition(n, "root").sortWithinPartitions("root", "fp").mapInArrow(_to_verified(similarity), "a binary, b binary")
+    big = stored(loose.join(sizes.where(F.col("count") > most), "root").select(F.col("node").alias("fp")))
+    links = exact.union(link_table(big, sets, similarity_radius(bits, similarity, 0), chunk))
+    return _named(nodes, connected_components(links))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, lanes: int = 4, chunk: int = 4096, most: int = 512) -> DataFrame:
+    """The rows of docs, all columns, with one row of each group: that of the smallest id.
+
+    Groups are components of pairs of texts whose sets of word shingles have
+    a Jaccard similarity of at least `similarity` (see `similar_groups`).
+    Null texts count as empty. Rows without an id stay only in groups without
+    any id, one for each group.
+    """
+    each = stored(fingerprints(docs, id_col, text_col, words, lanes))
+    groups = similar_groups(docs, each, id_col, text_col, words, similarity, lanes, chunk, most)
+    first = each.join(groups, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = stored(first.groupBy("root").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp")).select("doc_id", "fp"))
+    once = docs.join(kept.where("doc_id is not null").select(F.col("doc_id").alias("__id")), F.col(id_col) == F.col("__id"), "left_semi")
+    if each.groupBy("doc_id").count().where("doc_id is not null and count > 1").limit(1).count():
+        # ids that occur more than once: of their rows, the first by text
+        many = stored(each.groupBy("doc_id").count().where("doc_id is not null and count > 1").select(F.col("doc_id").alias("__id")))
+        order = Window.partitionBy(id_col).orderBy(text_col)
+        twice = once.join(many, F.col(id_col) == F.col("__id"), "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+        once = once.join(many, F.col(id_col) == F.col("__id"), "left_anti").unionByName(twice)
+    if kept.where("doc_id is null").limit(1).count():
+        made = fingerprints(docs.where(F.col(id_col).isNull()).withColumn("__row", F.struct(*docs.columns)).select(F.lit(None).cast("long").alias("doc_id"), text_col, "__row"), "doc_id", text_col, words, lanes, extra=("__row",))
+        nameless = made.withColumnRenamed("fp", "__fp").join(kept.where("doc_id is null").select(F.col("fp").alias("__fp")), "__fp", "left_semi")
+        nameless = nameless.withColumn("__n", F.row_number().over(Window.partitionBy("__fp").orderBy(F.col("__row")[text_col]))).where("__n = 1")
+        once = once.unionByName(nameless.select("__row.*"))
+    return once
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

@@ -102,16 +102,17 @@ def _capitals(t: str) -> bool:
 def learn_vectors(texts: list[bytes | None], span: int = 2, least: int = 2, most: int = 60_000) -> Vectors:
     """Word vectors from texts: terms with at least `least` occurrences, the most frequent `most` of them."""
     counts: dict[str, int] = {}
-    split = [[t.lower() for t in terms(x)] for x in texts]
-    for s in split:
-        for t in s:
+    for x in texts:
+        for t in terms(x):
+            t = t.lower()
             counts[t] = counts.get(t, 0) + 1
     chosen = sorted((t for t, n in counts.items() if n >= least), key=lambda t: (-counts[t], t))[:most]
     shapes = ["\x02number", "\x02symbols", *(f"\x02word{k}" for k in range(6))]
     ids = {t: i for i, t in enumerate([*chosen, *shapes, SAME, CAPITALS])}
     index = np.array([index_vector(t) for t in ids])
     table = np.zeros_like(index)
-    for s in split:
+    for x in texts:
+        s = [t.lower() for t in terms(x)]
         r = np.fromiter((i if (i := ids.get(t, -1)) >= 0 else ids[shape_of(t)] for t in s), np.int64, len(s))
         for k in range(1, span + 1):
             if len(r) > k:
@@ -172,7 +173,7 @@ def held_out(id_col: str = "doc_id") -> Column:
     return id_remainder(id_col, 5) == 0
 
 
-def learn_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 6000, longest: int = 500_000, hidden: int = 24) -> tuple[Vectors, Network] | None:
+def learn_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 5000, longest: int = 500_000, hidden: int = 24) -> tuple[Vectors, Network] | None:
     """Fits on at most `sample` labelled documents outside the held-out fold, in order of a hash of the id; a fifth of them sets the temperature.
 
     Documents over `longest` bytes are not taken into the sample (all are scored).

@@ -361,19 +361,40 @@ def link_table(fps: DataFrame, sets: list[list[int]], radius: int = 4, chunk: in
     `radius` or fewer bits.
     """
     spark = fps.sparkSession
-    rows = stored(fps.select("fp").mapInArrow(_to_buckets(sets), "fp binary, bucket long"))
-    counts = rows.groupBy("bucket").count().where("count > 1")
-    hot = counts.where(F.col("count") > chunk).select("bucket", F.ceil(F.col("count") / chunk).cast("int").alias("parts"))
-    few = rows.join(counts.where(F.col("count") <= chunk).select("bucket"), "bucket", "left_semi").select("fp", "bucket", F.lit(0).alias("part_a"), F.lit(0).alias("part_b"))
-    part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    many = (
-        rows.join(hot, "bucket")
-        .select("fp", "bucket", part.alias("p"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
-        .select("fp", "bucket", F.least("p", "o").alias("part_a"), F.greatest("p", "o").alias("part_b"))
-    )
+    rows = fps.select("fp").mapInArrow(_to_buckets(sets), "fp binary, bucket long")
+    hot = _hot_buckets(rows, fps.count() * len(sets), chunk)
+    few, many = rows, None
+    if n_hot := hot.count():
+        side = F.broadcast(hot) if n_hot <= 10_000 else hot  # a counted side
+        part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+        few = rows.join(side, "bucket", "left_anti")
+        many = (
+            rows.join(side, "bucket")
+            .select("fp", "bucket", part.alias("p"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
+            .select("fp", "bucket", F.least("p", "o").alias("part_a"), F.greatest("p", "o").alias("part_b"))
+        )
+    both = few.select("fp", "bucket", F.lit(0).alias("part_a"), F.lit(0).alias("part_b"))
+    both = both if many is None else both.union(many)
     key = ["bucket", "part_a", "part_b"]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return few.union(many).repartition(n, *key).sortWithinPartitions(*key).mapInArrow(_to_links(radius), "a binary, b binary")
+    return both.repartition(n, *key).sortWithinPartitions(*key).mapInArrow(_to_links(radius), "a binary, b binary")
+
+
+def _hot_buckets(rows: DataFrame, total: int, chunk: int) -> DataFrame:
+    """(bucket, parts) of buckets over `chunk` rows, and into how many parts to cut them.
+
+    Coarse bins are counted first; only buckets of bins over `chunk` rows are
+    counted themselves, so the count does not shuffle every bucket.
+    """
+    bins = max(65_536, total // 512)
+    binned = rows.select("bucket", F.pmod(F.xxhash64("bucket"), F.lit(bins)).alias("bin"))
+    full = stored(binned.groupBy("bin").count().where(F.col("count") > chunk).select("bin"))
+    n_full = full.count()
+    if not n_full:
+        return rows.sparkSession.createDataFrame([], "bucket long, parts int")
+    side = F.broadcast(full) if n_full <= 10_000 else full  # a counted side
+    counts = binned.join(side, "bin", "left_semi").groupBy("bucket").count().where(F.col("count") > chunk)
+    return stored(counts.select("bucket", F.ceil(F.col("count") / chunk).cast("int").alias("parts")))
 
 
 def _named(nodes: DataFrame, labels: DataFrame) -> DataFrame:

@@ -6,8 +6,6 @@ inference is an outside provider.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -261,7 +259,3 @@ def all_masks(*tables: DataFrame) -> DataFrame:
     for t in tables[1:]:
         out = out.unionByName(t, allowMissingColumns=True)
     return out
-
-
-def grid_spacing(side: int) -> float:
-    return 1 / side if side else math.inf

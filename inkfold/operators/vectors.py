@@ -8,8 +8,6 @@ out into rows.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,7 +140,3 @@ def pooled(hidden: Column, mask: Column, how: str = "mean") -> Column:
     fold = (lambda a, b: F.greatest(a, b)) if how == "max" else (lambda a, b: a + b)
     total = F.aggregate(F.slice(kept, 2, F.greatest(F.size(kept) - 1, F.lit(0))), F.get(kept, F.lit(0)), lambda s, v: F.zip_with(s, v, fold))
     return total if how == "max" else F.transform(total, lambda x: x / F.greatest(F.size(kept), F.lit(1)))
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))

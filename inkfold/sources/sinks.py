@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.operators.lexicon import LEXICON_COLUMNS, export_rows
+from inkfold.operators.lexicon import export_rows
 
 
 def write_lines(rows: DataFrame, path: str, text: str = "text", mode: str = "overwrite") -> None:
@@ -69,7 +69,3 @@ def write_mask_table(masks: DataFrame, path: str) -> None:
 def encoded_images(rows: DataFrame, content: str = "png") -> DataFrame:
     """Adds a random id and the base64 text of a binary column."""
     return rows.withColumn("object_id", F.expr("uuid()")).withColumn("image_base64", F.base64(content))
-
-
-def lexicon_columns() -> tuple[str, ...]:
-    return LEXICON_COLUMNS

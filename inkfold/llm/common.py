@@ -50,6 +50,25 @@ def id_remainder(id_col: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def with_maybe(rows: DataFrame, id_col: str, ids: DataFrame, most_bytes: int = 64_000_000) -> DataFrame:
+    """Adds __maybe: false only for rows whose id is surely not among ids (one column, id).
+
+    A bitmap of hashed ids, 16 bits for each, is broadcast; beyond most_bytes
+    none is made and __maybe is true for all rows. So an exact join needs to
+    shuffle only the rows that may be in it.
+    """
+    bits = max(1 << 20, 16 * ids.count())
+    if bits // 8 > most_bytes:
+        return rows.withColumn("__maybe", F.lit(True))
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(bits))
+    maps = ids.select(place("id").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__map"))
+    at = F.bitmap_bit_position(place(id_col))
+    byte = F.conv(F.hex(F.substring("__map", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(byte, (at % 8).cast("int")) == 1
+    joined = rows.join(F.broadcast(maps), F.bitmap_bucket_number(place(id_col)) == F.col("__bucket"), "left")
+    return joined.withColumn("__maybe", F.coalesce(hit, F.lit(False))).drop("__bucket", "__map")
+
+
 def map_texts(
     docs: DataFrame,
     fn: Callable[[list[bytes | None]], dict[str, list]],

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_digest
 
-from inkfold.llm.common import LOWER, map_texts, stored
+from inkfold.llm.common import LOWER, map_texts, stored, with_maybe
 from inkfold.llm.components import connected_components
 
 #: Shingles hashed at a time: bounds memory for very long texts.
@@ -512,7 +512,9 @@ def similar_groups(docs: DataFrame, each: DataFrame, id_col: str, text_col: str,
     sizes = loose.groupBy("root").count()
     few = loose.join(sizes.where(F.col("count") <= most), "root").select(F.col("node").alias("fp"), "root")
     chosen = few.join(nodes.where("least is not null"), "fp").select(F.col("least").alias("__id"), F.col("root").alias("__root"), F.col("fp").alias("__fp"))
-    texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")).join(chosen, F.col("__doc") == F.col("__id")).select("__root", "__fp", "__text")
+    chosen = stored(chosen)
+    narrow = with_maybe(docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")), "__doc", chosen.select(F.col("__id").alias("id"))).where("__maybe")
+    texts = narrow.join(chosen, F.col("__doc") == F.col("__id")).select("__root", "__fp", "__text")
 
     def run(rows: list[bytes | None]) -> dict[str, list]:
         return {"fp": [fingerprint(t, words, lanes) for t in rows], "grams": [shingle_set(t, words).tobytes() for t in rows]}
@@ -537,7 +539,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     groups = similar_groups(docs, each, id_col, text_col, words, similarity, lanes, chunk, most)
     first = each.join(groups, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = stored(first.groupBy("root").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp")).select("doc_id", "fp"))
-    once = docs.join(kept.where("doc_id is not null").select(F.col("doc_id").alias("__id")), F.col(id_col) == F.col("__id"), "left_semi")
+    named = kept.where("doc_id is not null").select(F.col("doc_id").alias("__id"))
+    gone = stored(each.where("doc_id is not null").join(named, F.col("doc_id") == F.col("__id"), "left_anti").select(F.col("doc_id").alias("id")).distinct())
+    marked = with_maybe(docs.where(F.col(id_col).isNotNull()), id_col, gone)
+    unsure = marked.where("__maybe").drop("__maybe").join(named, F.col(id_col) == F.col("__id"), "left_semi")
+    once = marked.where("not __maybe").drop("__maybe").unionByName(unsure)
     if each.groupBy("doc_id").count().where("doc_id is not null and count > 1").limit(1).count():
         # ids that occur more than once: of their rows, the first by text
         many = stored(each.groupBy("doc_id").count().where("doc_id is not null and count > 1").select(F.col("doc_id").alias("__id")))

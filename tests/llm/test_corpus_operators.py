@@ -312,3 +312,16 @@ def test_language_model(spark):
     assert language_model.score_documents(table(spark, [])).count() == 0
     small = language_model.score_documents(table(spark, rows), depth=4, most_grams=40).collect()
     assert len(small) == len(rows) and all(r["score"] < 0 for r in small)
+
+
+def test_id_bitmap_never_misses(spark):
+    from inkfold.llm.common import with_maybe
+
+    rows = spark.range(20_000).withColumnRenamed("id", "doc_id")
+    ids = spark.range(0, 20_000, 40)
+    marked = with_maybe(rows, "doc_id", ids)
+    assert marked.count() == 20_000
+    assert marked.where("__maybe and doc_id % 40 = 0").count() == 500
+    assert marked.where("__maybe and doc_id % 40 <> 0").count() < 200
+    assert with_maybe(rows, "doc_id", ids, most_bytes=1).where("not __maybe").count() == 0
+    assert with_maybe(rows, "doc_id", ids.limit(0)).where("__maybe").count() == 0

@@ -448,31 +448,46 @@ def shingle_set(text: bytes | None, words: int) -> np.ndarray:
 def jaccard_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """A spanning forest of the pairs whose sets have at least this Jaccard similarity. Empty sets link to each other.
 
-    Each set's intersections with all later ones are counted at once, from
-    the lists of sets that hold an element.
+    Breadth-first search over sets not yet reached: a set's intersections
+    with them are counted at once, from the lists of sets that hold an
+    element. The lists are made anew when half of their sets are reached, so
+    a large group of copies costs little more than one pass.
     """
-    size = np.array([len(x) for x in sets])
+    size = np.array([len(x) for x in sets], np.int64)
+    fresh = size > 0
+    empty = np.flatnonzero(~fresh).tolist()
+    out = [(empty[0], x) for x in empty[1:]]
     element, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
     order = np.argsort(element, kind="stable")
     element, owner = element[order], owner[order]
-    pairs = []
-    empty = np.flatnonzero(size == 0).tolist()
-    pairs += [(empty[0], x) for x in empty[1:]]
-    for i, x in enumerate(sets):
-        lo, hi = np.searchsorted(element, x, "left"), np.searchsorted(element, x, "right")
-        n = hi - lo
-        n_all = int(n.sum())
-        if n_all > len(x):
-            at = np.repeat(lo, n) + np.arange(n_all) - np.repeat(np.cumsum(n) - n, n)
-            common = np.bincount(owner[at], minlength=len(sets))
-            for j in np.flatnonzero(common >= similarity * (size + size[i] - common) - 1e-9).tolist():
-                if j > i and common[j]:
-                    pairs.append((i, j))
-    return _forest(np.array(pairs, np.int64).reshape(-1, 2))
+    listed = left = int(fresh.sum())
+    for seed in range(len(sets)):
+        if not fresh[seed]:
+            continue
+        fresh[seed] = False
+        left -= 1
+        queue = [seed]
+        while queue and left:
+            if 2 * left < listed:
+                keep = fresh[owner]
+                element, owner, listed = element[keep], owner[keep], left
+            i = queue.pop()
+            x = sets[i]
+            lo, hi = np.searchsorted(element, x, "left"), np.searchsorted(element, x, "right")
+            n = hi - lo
+            at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            other = owner[at]
+            ids, common = np.unique(other[fresh[other]], return_counts=True)
+            for j in ids[common >= similarity * (size[ids] + size[i] - common) - 1e-9].tolist():
+                fresh[j] = False
+                left -= 1
+                out.append((i, j))
+                queue.append(j)
+    return out
 
 
 def _to_verified(similarity: float):
-    """Sorted (root, fp, grams) rows in, verified links out, group by group."""
+    """Sorted (root, part_a, part_b, fp, grams) rows in, verified links out, unit by unit."""
 
     def emit(fps: list[bytes], grams: list[bytes]) -> Iterator[pa.RecordBatch]:
         found = jaccard_links([np.frombuffer(g, np.uint64) for g in grams], similarity)
@@ -480,12 +495,12 @@ def _to_verified(similarity: float):
             yield pa.RecordBatch.from_arrays([pa.array([fps[a] for a, _ in found], pa.binary()), pa.array([fps[b] for _, b in found], pa.binary())], names=["a", "b"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root, fps, grams = None, [], []
+        unit, fps, grams = None, [], []
         for batch in batches:
-            for r, f, g in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("root", "fp", "grams")), strict=True):
-                if r != root:
+            for *u, f, g in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("root", "part_a", "part_b", "fp", "grams")), strict=True):
+                if u != unit:
                     yield from emit(fps, grams) if len(fps) > 1 else ()
-                    root, fps, grams = r, [], []
+                    unit, fps, grams = u, [], []
                 if not fps or fps[-1] != f:
                     fps.append(f)
                     grams.append(g)
@@ -494,40 +509,50 @@ def _to_verified(similarity: float):
     return run
 
 
-def similar_groups(docs: DataFrame, each: DataFrame, id_col: str, text_col: str, words: int, similarity: float, lanes: int, chunk: int, most: int) -> DataFrame:
-    """(fp, root, component_id) for every distinct fingerprint of each (doc_id, fp): components of pairs with at least this Jaccard similarity.
+def similar_groups(docs: DataFrame, each: DataFrame, id_col: str, text_col: str, words: int, similarity: float, lanes: int, chunk: int, held: int) -> DataFrame:
+    """(fp, root, component_id) for every distinct fingerprint of each (doc_id, fp, size): components of pairs with at least this Jaccard similarity.
 
     Fingerprints within a wide radius (2.5 standard deviations beyond the
-    similarity) are candidates; they form loose components. In a loose
-    component of at most `most` fingerprints, all pairs are verified on the
-    whole shingle sets, in one task. In a larger one, which no task should
-    hold, the fingerprints' own estimate decides.
+    similarity) are candidates; they form loose components. All pairs of a
+    loose component are verified on the whole shingle sets, whatever its
+    size: one of over `held` bytes of text is cut into parts of about that
+    size, and each pair of parts is a task's unit of its own.
     """
     spark = docs.sparkSession
     bits = 64 * lanes
-    nodes = stored(each.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    nodes = stored(each.groupBy("fp").agg(F.min("doc_id").alias("least"), F.max("size").alias("size")))
     share = 1 - similarity_radius(bits, similarity, 0) / bits
     sets = _bands(bits, nodes.count(), share)
-    loose = stored(connected_components(link_table(nodes, sets, similarity_radius(bits, similarity, 2.5), chunk)))
-    sizes = loose.groupBy("root").count()
-    few = loose.join(sizes.where(F.col("count") <= most), "root").select(F.col("node").alias("fp"), "root")
-    chosen = few.join(nodes.where("least is not null"), "fp").select(F.col("least").alias("__id"), F.col("root").alias("__root"), F.col("fp").alias("__fp"))
-    chosen = stored(chosen)
-    narrow = with_maybe(docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")), "__doc", chosen.select(F.col("__id").alias("id"))).where("__maybe")
-    texts = narrow.join(chosen, F.col("__doc") == F.col("__id")).select("__root", "__fp", "__text")
+    loose = connected_components(link_table(nodes, sets, similarity_radius(bits, similarity, 2.5), chunk))
+    members = stored(loose.join(nodes, loose["node"] == nodes["fp"]).select("fp", "root", "least", "size"))
+    parts = members.groupBy("root").agg(F.ceil(F.sum("size") / held).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("fp"), F.greatest("parts", F.lit(1))).cast("int")
+    chosen = stored(members.join(parts, "root").select(F.col("least").alias("__id"), F.col("root").alias("__root"), F.col("fp").alias("__fp"), F.col("parts").alias("__parts"), part.alias("__part")))
+    named = chosen.where("__id is not null")
+    narrow = with_maybe(docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")), "__doc", named.select(F.col("__id").alias("id"))).where("__maybe")
+    texts = narrow.join(named, F.col("__doc") == F.col("__id")).select("__root", "__fp", "__parts", "__part", "__text")
 
     def run(rows: list[bytes | None]) -> dict[str, list]:
         return {"fp": [fingerprint(t, words, lanes) for t in rows], "grams": [shingle_set(t, words).tobytes() for t in rows]}
 
-    made = map_texts(texts, run, [T.StructField("fp", T.BinaryType()), T.StructField("grams", T.BinaryType())], "__text").where("fp = __fp")
+    fields = [T.StructField("fp", T.BinaryType()), T.StructField("grams", T.BinaryType())]
+    made = map_texts(texts, run, fields, "__text").where("fp = __fp")
+    if chosen.where("__id is null").limit(1).count():
+        # texts that occur only without an id
+        lone = map_texts(docs.where(F.col(id_col).isNull()).select(F.col(text_col).alias("__text")), run, fields, "__text")
+        made = made.unionByName(lone.join(chosen.where("__id is null"), F.col("fp") == F.col("__fp")).select(*made.columns))
+    # the other parts that a part meets; a component of one part meets itself
+    others = F.when(F.col("__parts") > 1, F.array_remove(F.sequence(F.lit(0), F.col("__parts") - 1), F.col("__part"))).otherwise(F.array(F.col("__part")))
+    units = made.withColumn("__other", F.explode(others)).select(
+        F.col("__root").alias("root"), F.least("__part", "__other").alias("part_a"), F.greatest("__part", "__other").alias("part_b"), "fp", "grams"
+    )
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    exact = made.select(F.col("__root").alias("root"), "fp", "grams").repartition(n, "root").sortWithinPartitions("root", "fp").mapInArrow(_to_verified(similarity), "a binary, b binary")
-    big = stored(loose.join(sizes.where(F.col("count") > most), "root").select(F.col("node").alias("fp")))
-    links = exact.union(link_table(big, sets, similarity_radius(bits, similarity, 0), chunk))
+    key = ["root", "part_a", "part_b"]
+    links = units.repartition(n, *key).sortWithinPartitions(*key, "fp").mapInArrow(_to_verified(similarity), "a binary, b binary")
     return _named(nodes, connected_components(links))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, lanes: int = 4, chunk: int = 4096, most: int = 512) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, lanes: int = 4, chunk: int = 4096, held: int = 8_000_000) -> DataFrame:
     """The rows of docs, all columns, with one row of each group: that of the smallest id.
 
     Groups are components of pairs of texts whose sets of word shingles have
@@ -535,8 +560,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Null texts count as empty. Rows without an id stay only in groups without
     any id, one for each group.
     """
-    each = stored(fingerprints(docs, id_col, text_col, words, lanes))
-    groups = similar_groups(docs, each, id_col, text_col, words, similarity, lanes, chunk, most)
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("size"))
+    each = stored(fingerprints(sized, "doc_id", "text", words, lanes, extra=("size",)))
+    groups = similar_groups(docs, each, id_col, text_col, words, similarity, lanes, chunk, held)
     first = each.join(groups, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = stored(first.groupBy("root").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp")).select("doc_id", "fp"))
     named = kept.where("doc_id is not null").select(F.col("doc_id").alias("__id"))

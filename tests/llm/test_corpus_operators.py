@@ -139,6 +139,29 @@ def test_near_duplicate_removal_is_exact(spark):
     assert [t for i, t in kept if i is None] == ["only here without an id"]
 
 
+@pytest.mark.parametrize("held", [8_000_000, 200_000])
+def test_large_groups_are_verified_exactly(spark, held):
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(200)]
+    rows = []
+    for k in range(600):
+        copy = list(base)
+        for at in rng.sample(range(200), 3):
+            copy[at] = f"x{k}_{at}"
+        rows.append((len(rows), " ".join(copy)))
+        if k % 10 == 0:
+            copy[rng.randrange(200)] = "changed"
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(None, " ".join([*base[:100], "lone", *base[100:150]])), (None, " ".join([*base[:100], "lone", *base[100:151]]))]
+    sets = [frozenset(zip(*(t.split()[k:] for k in range(5)), strict=False)) for _, t in rows]
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    roots = brute_components(pairs, range(len(rows)))
+    want = sorted(rows[r][0] for r in set(roots.values()) if rows[r][0] is not None)
+    kept = simhash.drop_near_duplicates(table(spark, rows), held=held).collect()
+    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == want
+    assert sum(r["doc_id"] is None for r in kept) == 1
+
+
 def test_jump_hash_and_slots(spark):
     rows = [(i, f"t{i % 7}") for i in range(600)] + [(5, "t5")] * 300 + [(None, None), (None, ""), (-3, "é")]
     got = sharding.shard_documents(table(spark, rows), 16).collect()

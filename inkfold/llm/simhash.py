@@ -35,6 +35,8 @@ RUN = 50_000
 SEARCH_FROM = 2048
 #: Row-word items compared at a time.
 ITEMS = 32_768
+#: Distinct shingles up to which a fingerprint says too little: the set's candidates come from shared shingles too.
+SHORT = 32
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -91,6 +93,54 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_texts(rows, run, [T.StructField("fp", T.BinaryType())], "__text")
 
 
+def shingle_set(text: bytes | None, words: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's word shingles."""
+    parts = (text or b"").translate(LOWER).split()
+    grams = map(b" ".join, zip(*(parts[k:] for k in range(words)), strict=False)) if len(parts) >= words else [b" ".join(parts)] if parts else []
+    return np.unique(np.frombuffer(b"".join(map(xxh64_digest, grams, repeat(42))), ">u8").astype(np.uint64))
+
+
+def set_print(grams: np.ndarray, lanes: int) -> bytes:
+    """The fingerprint of a shingle set, each shingle once, and 8 bytes that name the set: equal only for equal sets."""
+    counts = np.zeros(64 * lanes, np.int64)
+    for at in range(0, len(grams), RUN):
+        h = grams[at : at + RUN]
+        for lane in range(lanes):
+            bits = np.unpackbits(_mixed(h, lane).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            for k in range(0, len(bits), 255):
+                counts[64 * lane : 64 * lane + 64] += bits[k : k + 255].sum(axis=0, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(grams)).tobytes() + xxh64_digest(grams.tobytes())
+
+
+def short_prefix(grams: np.ndarray, similarity: float) -> list[int]:
+    """The smallest shingles of a short set, of which two sets with at least this Jaccard similarity share one; empty for long sets.
+
+    Sets that a short one can be similar to are short here too.
+    """
+    n = len(grams)
+    if n > SHORT / similarity:
+        return []
+    return grams[: n - int(np.ceil(similarity * n - 1e-9)) + 1].astype(np.int64).tolist()
+
+
+def set_prints(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, lanes: int, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, columns in extra, fp binary, prefix array<long>) for every row: set_print and short_prefix of its shingle set."""
+
+    def run(texts: list[bytes | None]) -> dict[str, list]:
+        known: dict[bytes | None, tuple[bytes, list[int]]] = {}
+        out = []
+        for t in texts:
+            made = known.get(t)
+            if made is None:
+                grams = shingle_set(t, words)
+                made = known[t] = (set_print(grams, lanes), short_prefix(grams, similarity))
+            out.append(made)
+        return {"fp": [m[0] for m in out], "prefix": [m[1] for m in out]}
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), *extra, F.col(text_col).alias("__text"))
+    return map_texts(rows, run, [T.StructField("fp", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))], "__text")
+
+
 # ------------------------------------------------------- bit-sliced comparison
 
 
@@ -316,7 +366,7 @@ def _to_buckets(sets: list[list[int]]):
     return run
 
 
-def _to_links(radius: int):
+def _to_links(radius: int, width: int | None):
     """Sorted (bucket, pair, fp) rows in, links out; a group that spans batches is held until it is whole."""
 
     def emit(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,7 +374,7 @@ def _to_links(radius: int):
         ids = np.stack([table[c].to_numpy() for c in ("bucket", "part_a", "part_b")], axis=1)
         group = np.r_[0, np.cumsum((ids[1:] != ids[:-1]).any(axis=1))]
         column = table["fp"].to_pylist()
-        fps = np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1)
+        fps = np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1)[:, :width]
         found = links(group, fps, radius)
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([column[a] for a, _ in found], pa.binary()), pa.array([column[b] for _, b in found], pa.binary())], names=["a", "b"])
@@ -352,10 +402,11 @@ def _to_links(radius: int):
     return run
 
 
-def link_table(fps: DataFrame, sets: list[list[int]], radius: int = 4, chunk: int = 4096) -> DataFrame:
+def link_table(fps: DataFrame, sets: list[list[int]], radius: int = 4, chunk: int = 4096, width: int | None = None) -> DataFrame:
     """Links (a, b) between distinct fingerprints: all links of each bucket, as a spanning forest.
 
-    fps: (fp binary), each value once. sets: rows that agree in all bits of a
+    fps: (fp binary), each value once; its first `width` bytes (all if None)
+    are the fingerprint, any others only name the row. sets: rows that agree in all bits of a
     set meet in a bucket. If the sets are blocks by the pigeonhole principle,
     the components of the result are those of the full graph of pairs at
     `radius` or fewer bits.
@@ -377,7 +428,7 @@ def link_table(fps: DataFrame, sets: list[list[int]], radius: int = 4, chunk: in
     both = both if many is None else both.union(many)
     key = ["bucket", "part_a", "part_b"]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return both.repartition(n, *key).sortWithinPartitions(*key).mapInArrow(_to_links(radius), "a binary, b binary")
+    return both.repartition(n, *key).sortWithinPartitions(*key).mapInArrow(_to_links(radius, width), "a binary, b binary")
 
 
 def _hot_buckets(rows: DataFrame, total: int, chunk: int) -> DataFrame:
@@ -438,13 +489,6 @@ def similarity_radius(bits: int, similarity: float, slack: float = 1.0) -> int:
     return int(bits * p + slack * np.sqrt(bits * p * (1 - p)))
 
 
-def shingle_set(text: bytes | None, words: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's word shingles."""
-    parts = (text or b"").translate(LOWER).split()
-    grams = map(b" ".join, zip(*(parts[k:] for k in range(words)), strict=False)) if len(parts) >= words else [b" ".join(parts)] if parts else []
-    return np.unique(np.frombuffer(b"".join(map(xxh64_digest, grams, repeat(42))), ">u8").astype(np.uint64))
-
-
 def jaccard_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """A spanning forest of the pairs whose sets have at least this Jaccard similarity. Empty sets link to each other.
 
@@ -510,10 +554,11 @@ def _to_verified(similarity: float):
 
 
 def similar_groups(docs: DataFrame, each: DataFrame, id_col: str, text_col: str, words: int, similarity: float, lanes: int, chunk: int, held: int) -> DataFrame:
-    """(fp, root, component_id) for every distinct fingerprint of each (doc_id, fp, size): components of pairs with at least this Jaccard similarity.
+    """(fp, root, component_id) for every distinct shingle set of each (doc_id, fp, prefix, size): components of pairs with at least this Jaccard similarity.
 
-    Fingerprints within a wide radius (2.5 standard deviations beyond the
-    similarity) are candidates; they form loose components. All pairs of a
+    Sets whose fingerprints are within a wide radius (2.5 standard deviations
+    beyond the similarity) are candidates, and so are short sets that share a
+    shingle of their prefixes; they form loose components. All pairs of a
     loose component are verified on the whole shingle sets, whatever its
     size: one of over `held` bytes of text is cut into parts of about that
     size, and each pair of parts is a task's unit of its own.
@@ -523,7 +568,10 @@ def similar_groups(docs: DataFrame, each: DataFrame, id_col: str, text_col: str,
     nodes = stored(each.groupBy("fp").agg(F.min("doc_id").alias("least"), F.max("size").alias("size")))
     share = 1 - similarity_radius(bits, similarity, 0) / bits
     sets = _bands(bits, nodes.count(), share)
-    loose = connected_components(link_table(nodes, sets, similarity_radius(bits, similarity, 2.5), chunk))
+    short = each.select("fp", F.explode("prefix").alias("gram")).distinct()
+    least = short.groupBy("gram").agg(F.min("fp").alias("b"))
+    shared = stored(short.join(least, "gram").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct())
+    loose = connected_components(link_table(nodes, sets, similarity_radius(bits, similarity, 2.5), chunk, 8 * lanes).union(shared))
     members = stored(loose.join(nodes, loose["node"] == nodes["fp"]).select("fp", "root", "least", "size"))
     parts = members.groupBy("root").agg(F.ceil(F.sum("size") / held).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("fp"), F.greatest("parts", F.lit(1))).cast("int")
@@ -533,7 +581,8 @@ def similar_groups(docs: DataFrame, each: DataFrame, id_col: str, text_col: str,
     texts = narrow.join(named, F.col("__doc") == F.col("__id")).select("__root", "__fp", "__parts", "__part", "__text")
 
     def run(rows: list[bytes | None]) -> dict[str, list]:
-        return {"fp": [fingerprint(t, words, lanes) for t in rows], "grams": [shingle_set(t, words).tobytes() for t in rows]}
+        grams = [shingle_set(t, words) for t in rows]
+        return {"fp": [set_print(g, lanes) for g in grams], "grams": [g.tobytes() for g in grams]}
 
     fields = [T.StructField("fp", T.BinaryType()), T.StructField("grams", T.BinaryType())]
     made = map_texts(texts, run, fields, "__text").where("fp = __fp")
@@ -561,7 +610,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     any id, one for each group.
     """
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("size"))
-    each = stored(fingerprints(sized, "doc_id", "text", words, lanes, extra=("size",)))
+    each = stored(set_prints(sized, "doc_id", "text", words, similarity, lanes, ("size",)))
     groups = similar_groups(docs, each, id_col, text_col, words, similarity, lanes, chunk, held)
     first = each.join(groups, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = stored(first.groupBy("root").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp")).select("doc_id", "fp"))
@@ -577,7 +626,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         twice = once.join(many, F.col(id_col) == F.col("__id"), "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
         once = once.join(many, F.col(id_col) == F.col("__id"), "left_anti").unionByName(twice)
     if kept.where("doc_id is null").limit(1).count():
-        made = fingerprints(docs.where(F.col(id_col).isNull()).withColumn("__row", F.struct(*docs.columns)).select(F.lit(None).cast("long").alias("doc_id"), text_col, "__row"), "doc_id", text_col, words, lanes, extra=("__row",))
+        made = set_prints(docs.where(F.col(id_col).isNull()).withColumn("__row", F.struct(*docs.columns)).select(F.lit(None).cast("long").alias("doc_id"), text_col, "__row"), "doc_id", text_col, words, similarity, lanes, ("__row",))
         nameless = made.withColumnRenamed("fp", "__fp").join(kept.where("doc_id is null").select(F.col("fp").alias("__fp")), "__fp", "left_semi")
         nameless = nameless.withColumn("__n", F.row_number().over(Window.partitionBy("__fp").orderBy(F.col("__row")[text_col]))).where("__n = 1")
         once = once.unionByName(nameless.select("__row.*"))

@@ -162,6 +162,22 @@ def test_large_groups_are_verified_exactly(spark, held):
     assert sum(r["doc_id"] is None for r in kept) == 1
 
 
+def test_candidates_come_from_distinct_shingles(spark):
+    rng = random.Random(9)
+
+    def words(n):
+        return " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+
+    body, line, long_line = words(200), words(10), words(11)
+    rows = [(0, f"{body} {line}"), (1, f"{body} " + f"{line} " * 30)]  # 0.98: one stays
+    rows += [(2, f"{words(100)} " + f"{long_line} " * 400), (3, f"{words(100)} " + f"{long_line} " * 400)]  # 0.05: both stay
+    for k in range(200):
+        short = words(8)
+        rows += [(10 + 2 * k, short), (11 + 2 * k, f"{short} {words(1)}")]  # 4 of 5 shingles: one stays
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(table(spark, rows)).collect()}
+    assert kept == {0, 2, 3, *(10 + 2 * k for k in range(200))}
+
+
 def test_jump_hash_and_slots(spark):
     rows = [(i, f"t{i % 7}") for i in range(600)] + [(5, "t5")] * 300 + [(None, None), (None, ""), (-3, "é")]
     got = sharding.shard_documents(table(spark, rows), 16).collect()

@@ -353,6 +353,14 @@ def test_language_model(spark):
     assert len(small) == len(rows) and all(r["score"] < 0 for r in small)
 
 
+def test_scores_do_not_depend_on_the_gram_limit(spark):
+    rng = random.Random(4)
+    vocab = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 7))) for _ in range(80)]
+    rows = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randint(0, 40)))) for i in range(80)] + [(200, None), (201, ""), (None, "abc"), (None, "abc")]
+    scores = [Counter((r["doc_id"], round(r["score"], 4), round(r["bits_per_byte"], 4)) for r in language_model.score_documents(table(spark, rows), most_grams=m).collect()) for m in (2_000_000, 700)]
+    assert scores[0] == scores[1]
+
+
 def test_id_bitmap_never_misses(spark):
     from inkfold.llm.common import with_maybe
 

@@ -1,6 +1,7 @@
 """Masks and vectors against plain Python and numpy."""
 
 import numpy as np
+import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as hs
 from pyspark.sql import functions as F
@@ -68,3 +69,21 @@ def test_bundle_and_map_forms(spark):
     names = spark.createDataFrame([(1, "sky")], "super_id int, name string")
     words = spark.createDataFrame([(1, "cloud", 3, 1), (1, "sun", 2, 2)], "super_id int, token string, n long, place int")
     assert taxonomy.bundle(m, names, words, "a\\b").first()["bundle"] == '{"centroids_path":"a/b","centroid_to_super":[1,1],"super_names":{"1":"sky"},"super_keywords":{"1":["cloud","sun"]}}'
+
+
+def test_euclidean_silhouette_reads_every_row(spark):
+    n = 20_300
+    rng = np.random.default_rng(3)
+    x, label = np.round(rng.normal(size=(n, 2)), 3), rng.integers(0, 3, n)
+    x += 2 * label[:, None]
+    rows = spark.createDataFrame(pd.DataFrame({"vec_id": range(n), "cluster_id": label, "embedding": x.tolist()}))
+    hot, want = np.eye(3)[label], []
+    size = hot.sum(axis=0)
+    for v, c in zip(x, label, strict=True):
+        s = np.sqrt(((x - v) ** 2).sum(axis=1)) @ hot
+        a, b = s[c] / (size[c] - 1), min(s[k] / size[k] for k in range(3) if k != c)
+        want.append((b - a) / max(a, b))
+    assert abs(clustering.silhouette_euclid(rows).first()[0] - np.mean(want)) < 1e-9
+    few = rows.where("vec_id < 40")
+    assert abs(clustering.silhouette_euclid(few, block=9).first()[0] - clustering.silhouette_euclid(few).first()[0]) < 1e-12
+    assert clustering.silhouette_euclid(rows.where("cluster_id = 1 and vec_id < 40")).first()[0] == 0.0

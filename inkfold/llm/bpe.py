@@ -48,6 +48,20 @@ def _class(kind: str) -> str:
 
 #: White space of the tokenizer's regular expressions, under U+0300.
 BLANK = "\t\n\x0b\x0c\r \x85\xa0"
+#: The normaliser and the splitter that `Bpe.words` stands for.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def _outside() -> str:
+    """Characters under U+0300 whose lower case is not plain: it leaves that range other than by a combining dot."""
+    return "".join(chr(c) for c in range(0x300) if any(ord(x) >= 0x300 and x != "\u0307" for x in chr(c).lower()))
 
 
 class Bpe:
@@ -56,6 +70,10 @@ class Bpe:
     def __init__(self, spec: str):
         spec_dict = json.loads(spec)
         model = spec_dict["model"]
+        if spec_dict["normalizer"] != NORMALIZER or spec_dict["pre_tokenizer"] != SPLITTER or spec_dict["decoder"] is not None or model["type"] != "BPE":
+            raise ValueError("the file has another normaliser, splitter, decoder or model than this encoder")
+        if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec_dict["added_tokens"]):
+            raise ValueError("added tokens must match as they are written")
         self.spec, self.suffix = spec, model["end_of_word_suffix"]
         to_byte = byte_alphabet()
         self.token_text = {i: t for t, i in model["vocab"].items()}
@@ -104,7 +122,7 @@ class Bpe:
         self.text_of: dict[str, bytes] = {}
         letter, number = _class("L"), _class("N")
         self.pattern = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{BLANK}{letter}{number}]+")
-        self.high = re.compile("[̀-\U0010ffff]")
+        self.high = re.compile(f"[{_outside()}\u0300-\U0010ffff]")
         self._library = None
 
     # ------------------------------------------------------------ verification
@@ -221,8 +239,9 @@ class Bpe:
         """The words that the tokenizer's normaliser and splitter make of a text.
 
         Texts under U+0300 are composed already and need lower case only; for
-        others the library's own normaliser and splitter decide, as Unicode
-        tables differ between versions.
+        others, and for the few characters whose lower case lies beyond, the
+        library's own normaliser and splitter decide, as Unicode tables differ
+        between versions.
         """
         if text.isascii() or not self.high.search(text):
             return self.pattern.findall(text.lower())
@@ -280,8 +299,10 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
     """Adds ids (binary: little-endian unsigned 32-bit) and, if wanted, decoded (binary: UTF-8) to each row.
 
     Null and empty texts: no ids, empty decoded text. Null ids and repeated
-    rows stay. keep: all other columns are kept; else doc_id only. Texts that
-    spell an added token give that token's id, as in the library.
+    rows stay; an empty table stays empty. keep: all other columns are kept,
+    but for those named like the new ones, which are replaced; else doc_id
+    only. Texts that spell an added token give that token's id, as in the
+    library. A file with another normaliser or splitter is refused.
     """
     with open(path or default_path(), encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -299,7 +320,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None, ids_col: str = "ids") -> DataFrame:
-    """Adds decoded (string) to rows with ids (binary, as from encode_documents); null ids decode to an empty text."""
+    """Adds decoded (string) to rows with ids (binary, as from encode_documents), in place of a column of that name; null ids decode to an empty text."""
     with open(path or default_path(), encoding="utf-8") as f:
         spec = encoded.sparkSession.sparkContext.broadcast(f.read())
 

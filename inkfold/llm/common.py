@@ -26,10 +26,17 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Where that is unset, a session on one machine uses a temporary folder; on
+    a cluster there is nothing that executors could see, so it is an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="inkfold-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master or "").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="inkfold-"))
     return sc.getCheckpointDir()
 
 
@@ -82,8 +89,11 @@ def map_texts(
     fn takes UTF-8 texts (None for null) and returns a list for each field.
     Batches are cut to `piece` rows or about `piece_bytes` bytes (one text at
     least), so memory stays bounded whatever the batch size of the session.
-    The text column itself is not returned.
+    The text column itself is not returned. Columns named like a new field
+    are replaced by it.
     """
+    fresh = {f.name.lower() for f in fields}
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c == text_col or c.lower() not in fresh))
     keep = [f for f in docs.schema.fields if f.name != text_col]
     schema = T.StructType([*keep, *fields])
     names, kinds = [f.name for f in fields], [to_arrow_type(f.dataType) for f in fields]

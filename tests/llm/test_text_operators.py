@@ -1,9 +1,13 @@
 """Secrets, HTML, BPE and token counts against brute force."""
 
 import hashlib
+import itertools
+import random
 import re
+from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,40 +34,84 @@ def plain_base(text):
 
 
 def test_fixed_patterns_keep_their_places(spark):
-    for r in secrets.scan_documents(docs(spark)).join(docs(spark).withColumnRenamed("spans", "s"), "doc_id").collect():
-        base = [(s["kind"], s["start"], s["end"]) for s in r["spans"] if s["kind"] != "crf"]
-        assert base in (plain_base(r["text"]), plain_base(None), plain_base(HARD[3])) or r["doc_id"] == 0
     field = secrets.trained()
-    for t in HARD:
-        if t and "ſ" not in t:
-            assert [s for s in secrets.find_spans(field, t.encode()) if s[0] != "crf"] == plain_base(t)
+    table = docs(spark)
+    want = Counter((r["doc_id"], tuple(plain_base(r["text"]))) for r in table.collect() if "ſ" not in (r["text"] or ""))
+    got = Counter()
+    for r in secrets.scan_documents(table).collect():
+        got[r["doc_id"], tuple((s["kind"], s["start"], s["end"]) for s in r["spans"] if s["kind"] != "crf")] += 1
+    assert all(got[k] >= n for k, n in want.items()) and sum(got.values()) == len(HARD) + 3
+    rng = random.Random(4)
+    made = ["".join(rng.choice(["token", "=", " ", '"', "AKIA", "é", "ABC0123", "deadbeef" * 2, "passwd", ":", "x_9", "\n"]) for _ in range(rng.randint(0, 30))) for _ in range(1500)]
+    for t, found in zip(made, secrets.find_spans(field, [t.encode() for t in made]), strict=True):
+        assert [s for s in found if s[0] != "crf"] == plain_base(t)
+
+
+def test_query_has_the_contract_columns(spark):
+    rows = QUERIES["op1_secrets"](spark, "/root/testdata/sf0.001")
+    assert rows.columns[:6] == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+    assert [t for _, t in rows.dtypes[1:6]] == ["bigint", "bigint", "bigint", "string", "string"]
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = rows.collect()
+    assert len(got) == len(texts)
+    for r in got:
+        base = plain_base(texts[r["doc_id"]])
+        line = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(s[0] == k for s in base) for k in ("assign", "access", "hex"))
+        assert r["base_sha256"] == hashlib.sha256(line(base).encode()).hexdigest()
+        assert [s for s in r["spans"].split(",") if s and not s.startswith("crf:")] == [s for s in line(base).split(",") if s]
 
 
 def test_field_finds_secrets_and_leaves_numbers():
-    import random
-
     field, rng = secrets.trained(), random.Random(5)
+    lines = [secrets.generated_line(rng) for _ in range(400)]
     right = wrong = missed = 0
-    for _ in range(200):
-        line, spans = secrets.generated_line(rng)
-        got = set(secrets.field_spans(field, line.encode()))
-        right, wrong, missed = right + len(got & set(spans)), wrong + len(got - set(spans)), missed + len(set(spans) - got)
+    for (line, spans), got in zip(lines, secrets.field_spans(field, [x.encode() for x, _ in lines]), strict=True):
+        spans, got = {(len(line[:a].encode()), len(line[:b].encode())) for a, b in spans}, set(got)
+        right, wrong, missed = right + len(got & spans), wrong + len(got - spans), missed + len(spans - got)
     assert right > 0.97 * (right + missed) and right > 0.97 * (right + wrong)
-    assert secrets.field_spans(field, b"call 555 123 4567 on 2024-01-02, card 4556737586899855") == []
-
+    clean = [b"call 555 123 4567 on 2024-01-02, card 4556737586899855", b"the password is wrong, the secret of Donaudampfschifffahrt", b"", b" \n"]
+    assert secrets.field_spans(field, clean) == [[], [], [], []]
+    # no digit, no keyword near, beyond any prefix
+    far = b"plain words " * 3000 + b"gTrLqWzPxvBnMkJhGfDsAqWeRtYuIo and more"
+    assert secrets.field_spans(field, [far]) == [[(36_000, 36_030)]]
 
-def test_viterbi_is_the_best_path():
-    import itertools
 
+def test_scores_are_the_sums_of_the_named_features():
     field = secrets.trained()
-    tokens = [b"token", b"=", b"ab12cd34ef56", b"and", b"7"]
-    feats = secrets.features(tokens, [], [], ["fm0", "fk1"])
-    e = field.scores(feats)
+    sample = [r["text"] or "" for r in pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist()][:60]
+    texts = [t.encode() for t in ["", " ", "a", *(t[:4000] for t in sample), *(t for t in HARD if t)]]
+    found = [secrets.pieces_of(t)[1] for t in texts]
+    scores, start = field.scores(texts, found)
+    zero, want = np.zeros(3, np.int64), []
+    for t in texts:
+        for names in secrets.features(t):
+            want.append(sum((field.emit.get(n, zero) for n in names), zero) - np.array([0, 0, secrets.BAR * ("g0" in names)]))
+    assert (scores == np.array(want)).all() and start.sum() == sum(map(bool, found))
+    # the table of tokens forgets; scores stay
+    small = secrets.Field(field.emit, field.move, kept=10)
+    assert (np.concatenate([small.scores([t], [p])[0] for t, p in zip(texts, found, strict=True)]) == scores).all()
 
-    def score(path):
-        return sum(e[i][t] for i, t in enumerate(path)) + sum(field.move[a, b] for a, b in itertools.pairwise(path)) + (-1e9 if path[0] == secrets.INSIDE else 0)
 
-    assert tuple(field.viterbi(feats)) == max(itertools.product(range(3), repeat=5), key=score)
+def test_viterbi_is_the_best_path():
+    rng = np.random.default_rng(2)
+    for move in (np.zeros((3, 3), np.int64), secrets.trained().move, rng.integers(-4, 5, (3, 3))):
+        for _ in range(20):
+            scores = rng.integers(-3, 4, (7, 3)) * (1 if move.max() < 9 else 2000)
+            start = np.zeros(7, bool)
+            start[[0, 4]] = True
+
+            def score(path):
+                out = sum(int(scores[i][t]) for i, t in enumerate(path)) - secrets.BAR * ((path[0] == 2) + (path[4] == 2))
+                return out + sum(int(move[path[i - 1], path[i]]) for i in range(1, 7) if not start[i])
+
+            best = max(map(score, itertools.product(range(3), repeat=7)))
+            for block in (1, 2, 3, 7, 128):
+                tags = secrets.viterbi(scores, start, move, block)
+                assert score(tuple(tags)) == best and (tags == secrets.viterbi(scores, start, move, 128)).all()
+    scores, start = rng.integers(-3, 4, (5000, 3)), rng.random(5000) < 0.01
+    start[0] = True
+    assert (secrets.viterbi(scores, start, move, 128) == secrets.viterbi(scores, start, move, 5000)).all()
 
 
 def test_redaction(spark):
@@ -110,6 +158,38 @@ def test_encoding_equals_the_library(spark):
     assert {(r["doc_id"], r["decoded"]) for r in back.collect()} == {(i, d) for i, _, d in seen}
 
 
+def test_encoding_of_every_character_and_of_random_texts():
+    from tokenizers import Tokenizer
+
+    lib, rng = Tokenizer.from_file(bpe.default_path()), random.Random(1)
+    model = bpe.loaded(open(bpe.default_path(), encoding="utf-8").read())
+    texts = [f"ab{chr(c)}cd {chr(c)} x{chr(c)}" for c in range(0x3000)]
+    pool = [chr(c) for c in [*range(0x20, 0x600), 0x3000, 0xAC00, 0x1F600, 0x2028]] + list("abcdefghij 's'tI") * 40
+    texts += ["".join(rng.choice(pool) for _ in range(rng.randint(0, 25))) for _ in range(5000)]
+    ids, text = model.encode([t.encode() for t in texts])
+    for t, i, d in zip(texts, ids, text, strict=True):
+        want = lib.encode(t, add_special_tokens=False).ids
+        assert i == np.array(want, "<u4").tobytes() and d.decode() == lib.decode(want, skip_special_tokens=False), t
+
+
+def test_other_tokenizer_files_are_refused():
+    import json
+
+    spec = json.load(open(bpe.default_path(), encoding="utf-8"))
+    for key in ("normalizer", "pre_tokenizer"):
+        with pytest.raises(ValueError):
+            bpe.Bpe(json.dumps(spec | {key: None}))
+
+
+def test_encoding_replaces_clashing_columns_and_takes_empty_tables(spark):
+    rows = spark.createDataFrame([(1, "a b", "old", "old"), (1, "a b", "old", "old"), (None, None, "old", None)], "doc_id long, text string, ids string, DECODED string")
+    made = bpe.encode_documents(rows, keep=True)
+    assert made.columns == ["doc_id", "text", "ids", "decoded"] and Counter(bytes(r["decoded"]) for r in made.collect()) == {b"a</w> b</w>": 2, b"": 1}
+    back = bpe.decode_documents(made)
+    assert back.columns == ["doc_id", "text", "ids", "decoded"] and {r["decoded"] for r in back.collect()} == {"a</w> b</w>", ""}
+    assert bpe.encode_documents(rows.limit(0)).count() == 0 and secrets.scan_documents(rows.limit(0)).count() == 0
+
+
 def test_every_pair_check_is_the_merge_itself():
     m = bpe.loaded(open(bpe.default_path(), encoding="utf-8").read())
     rng = np.random.default_rng(3)

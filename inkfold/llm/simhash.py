@@ -2,8 +2,10 @@
 
 Fingerprints come from word shingles. Pairs within the radius are found
 exactly: by the pigeonhole principle two fingerprints at `radius` differing
-bits agree in at least one of radius + 1 blocks, so every block value is a
-bucket, and inside a bucket all rows are compared. The comparison keeps the
+bits agree in at least one of radius + 1 blocks, or in k of radius + k; so
+every value of k blocks is a bucket, and inside a bucket all rows are
+compared. k follows from the number of rows, so that buckets stay small as
+the corpus grows. The comparison keeps the
 fingerprints as vertical bit planes (one machine word holds one bit of 64
 rows), updates 64 distances at once with carry-save counters, and abandons a
 word as soon as all its 64 distances exceed the radius.
@@ -16,6 +18,7 @@ task holds more than two chunks of any bucket.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Iterator
 from itertools import repeat
 
@@ -332,10 +335,22 @@ def links(group: np.ndarray, fps: np.ndarray, radius: int) -> list[tuple[int, in
 # ------------------------------------------------------------------ Spark plan
 
 
-def _blocks(bits: int, radius: int) -> list[list[int]]:
-    """radius + 1 ranges of bits, as even as can be."""
-    cut = np.linspace(0, bits, radius + 2).round().astype(int)
-    return [list(range(a, b)) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+def _blocks(bits: int, radius: int, rows: int = 0, mean: int = 256) -> list[list[int]]:
+    """Sets of bits, of which two fingerprints at `radius` differing bits agree in all bits of at least one.
+
+    The bits are cut into radius + k blocks, as even as can be, and each
+    choice of k blocks is a set. k is the least for which evenly spread rows
+    make buckets of at most `mean` rows, as long as there are blocks of four
+    bits for it.
+    """
+    for k in range(1, bits):
+        blocks = radius + k
+        cut = np.linspace(0, bits, blocks + 1).round().astype(int).tolist()
+        ranges = [list(range(a, b)) for a, b in itertools.pairwise(cut)]
+        sets = [sum(chosen, []) for chosen in itertools.combinations(ranges, k)]
+        if rows <= mean << min(map(len, sets)) or bits < 4 * (blocks + 1):
+            return sets
+    raise ValueError("a fingerprint needs more bits than the radius")
 
 
 def _bands(bits: int, rows: int, share: float, missed: float = 0.003, seed: int = 3) -> list[list[int]]:
@@ -470,11 +485,12 @@ def near_duplicates(
 
     Null text counts as empty (fingerprint zero, linked like any other). A
     null id stays and never names a component unless all its ids are null.
-    Equal texts share a fingerprint, so repeated rows are one node.
+    Equal texts share a fingerprint, so repeated rows are one node. Very long
+    texts are read in runs of shingles; an empty table stays empty.
     """
     each = stored(fingerprints(docs, id_col, text_col, words, lanes))
     nodes = stored(each.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    labels = connected_components(link_table(nodes, _blocks(64 * lanes, radius), radius, chunk))
+    labels = connected_components(link_table(nodes, _blocks(64 * lanes, radius, nodes.count()), radius, chunk))
     return each.join(_named(nodes, labels), "fp").select("doc_id", "fp", "component_id")
 
 

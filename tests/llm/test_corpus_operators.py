@@ -87,6 +87,23 @@ def test_bit_sliced_links_are_all_links():
             assert got == {int(a): want[a] for a in at}
 
 
+def test_buckets_stay_small_and_lose_no_pair_as_rows_grow():
+    rng = np.random.default_rng(7)
+    sizes = []
+    for rows in (2_000, 20_000, 200_000):
+        sets = simhash._blocks(64, 4, rows, mean=1)
+        bits = rng.integers(0, 2, (rows, 64), dtype=np.int64)
+        biggest = max(int(np.unique(bits[:, at] @ (1 << np.arange(len(at))), return_counts=True)[1].max()) for at in sets[:6])
+        sizes.append((len(sets), biggest))
+    assert sizes[0][0] == 5 and sizes[1][0] == 15 and max(b for _, b in sizes) <= 12
+    assert [len(simhash._blocks(64, 4, n)) for n in (0, 10**6, 10**8, 10**10, 10**12)] == [5, 5, 15, 35, 70]
+    for rows in (0, 10**8, 10**10, 10**12):
+        sets = [set(x) for x in simhash._blocks(64, 4, rows)]
+        for _ in range(2000):
+            flipped = set(rng.choice(64, 4, replace=False).tolist())
+            assert any(not s & flipped for s in sets)
+
+
 def test_hot_buckets_are_cut_without_losing_links(spark):
     rng = np.random.default_rng(4)
     center = rng.integers(0, 2, 64)

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -252,35 +253,75 @@ def test_rules_separate_labels(spark):
     assert quality_rules.learn_rules(docs, labels.where("quality = 5")) == []
 
 
-def test_tiling_is_greedy_and_catches_reordering():
-    def brute(a, b, least):
-        used_a, used_b, out = [False] * len(a), [False] * len(b), []
-        for n in range(min(len(a), len(b)), least - 1, -1):
-            for i in range(len(a) - n + 1):
-                for j in range(len(b) - n + 1):
-                    if not any(used_a[i : i + n]) and not any(used_b[j : j + n]) and a[i : i + n] == b[j : j + n]:
-                        out.append((i, j, n))
-                        used_a[i : i + n] = used_b[j : j + n] = [True] * n
-        return out
+def brute_tiles(a, b, least):
+    used_a, used_b, out = [False] * len(a), [False] * len(b), []
+    for n in range(min(len(a), len(b)), least - 1, -1):
+        for i in range(len(a) - n + 1):
+            for j in range(len(b) - n + 1):
+                if not any(used_a[i : i + n]) and not any(used_b[j : j + n]) and a[i : i + n] == b[j : j + n]:
+                    out.append((i, j, n))
+                    used_a[i : i + n] = used_b[j : j + n] = [True] * n
+    return out
+
 
+def test_tiling_is_greedy_and_catches_reordering():
     rng = random.Random(8)
-    for _ in range(60):
-        a, b = ([rng.randrange(4) for _ in range(rng.randint(0, 25))] for _ in range(2))
-        assert decontamination.tiles(np.array(a, np.int64), np.array(b, np.int64), 3) == brute(a, b, 3)
+    for letters in (1, 2, 4):
+        for _ in range(60):
+            a, b = ([rng.randrange(letters) for _ in range(rng.randint(0, 25))] for _ in range(2))
+            assert decontamination.tiles(np.array(a, np.int64), np.array(b, np.int64), 3) == brute_tiles(a, b, 3)
     a = list(range(40))
     assert sum(n for _, _, n in decontamination.tiles(np.array(a), np.array(a[20:] + [-1] + a[:20]), 5)) == 40
 
 
-def test_leaks_are_found_whatever_the_block_size(spark):
+def test_tiling_of_repetitive_texts_is_fast():
+    rng = np.random.default_rng(3)
+    began = time.time()
+    for pattern in (np.zeros(1, np.int64), np.arange(3), rng.integers(0, 2, 7)):
+        item, text = np.resize(pattern, 8000), np.resize(pattern, 50_000)
+        assert sum(n for _, _, n in decontamination.tiles(item, text, 5)) == 8000
+    decontamination.tiles(rng.integers(0, 2, 4000), rng.integers(0, 2, 20_000), 5)
+    assert time.time() - began < 20
+
+
+def plain_words(text):
+    return re.findall(r"[a-z0-9]+", (text or "").lower())
+
+
+def test_leaks_are_those_of_brute_force_whatever_the_way(spark):
     item = " ".join(f"word{i}" for i in range(30))
+    long_item = " ".join(f"long{i}" for i in range(200))
     texts = [item.upper() + "!", "before " + item.replace(" ", "\n") + " after", " ".join(item.split()[15:] + ["x"] + item.split()[:15]), " ".join(item.split()[:8]), None, "", "clean text of nothing"]
-    docs = table(spark, [*enumerate(texts), (None, item)])
-    bench = spark.createDataFrame([(1, item), (2, None), (3, "too short"), (4, "other words that are not there at all in any text")], "item_id long, text string")
+    texts += ["it is too  SHORT, so", "too very short", "x " + " ".join(long_item.split()[20:75]) + " y", " ".join(long_item.split()[20:60]), "a b " * 5000, item + " " + long_item]
+    rng = random.Random(3)
+    for _ in range(14):
+        parts = [item.split(), long_item.split(), ["other"] * 3, ["a", "b"] * 6]
+        texts.append(" ".join(w for _ in range(5) for p in [rng.choice(parts)] for at in [rng.randrange(len(p))] for w in p[at : at + rng.randint(2, 30)]))
+    rows = [*enumerate(texts), (None, item), (0, item), (0, item)]
+    docs = table(spark, rows)
+    items = [("one", item), ("none", None), ("few", "too short"), ("other", "other words that are not there at all in any text"), ("long", long_item), ("again", long_item), (None, "a b " * 20), ("empty", "!!")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    rule = decontamination.Rule()
+    want = Counter()
+    for d, t in rows:
+        for i, q in items:
+            a, b = plain_words(q), plain_words(t)
+            least = min(rule.seed, len(a))
+            found = brute_tiles(a, b[:400], least) if a else []
+            if found and rule.holds(len(a), sum(x[2] for x in found), max(x[2] for x in found)):
+                want[d, i, len(a), sum(x[2] for x in found), max(x[2] for x in found)] += 1
+    assert {(d, i) for d, i, *_ in want} >= {(0, "one"), (2, "one"), (None, "one"), (7, "few"), (9, "long"), (9, "again"), (11, None)} and (10, "long") not in {k[:2] for k in want}
+    clean = Counter(d for d, _ in rows)
+    gone = {t for d, t in rows if any(k[0] == d for k in want)}
     for size in (16_000_000, 60):
-        got = {(r["doc_id"], r["item_id"]) for r in decontamination.overlaps(docs, bench, block_bytes=size).collect()}
-        assert got == {(0, 1), (1, 1), (2, 1), (None, 1)}
-        clean = decontamination.decontaminate(docs, bench, block_bytes=size)
-        assert clean.columns == docs.columns and sorted(r["doc_id"] for r in clean.collect()) == [3, 4, 5, 6]
+        got = decontamination.overlaps(docs, bench, rule=rule, block_bytes=size)
+        assert dict(got.dtypes)["item_id"] == "string"
+        assert Counter((r["doc_id"], r["item_id"], r["item_tokens"], r["covered_tokens"], r["longest_run"]) for r in got.collect()) == want
+        kept = decontamination.decontaminate(docs, bench, rule=rule, block_bytes=size)
+        assert kept.columns == docs.columns
+        assert Counter(r["doc_id"] for r in kept.collect()) == Counter(d for d, t in rows if t not in gone)
+        assert decontamination.overlaps(docs.limit(0), bench, block_bytes=size).count() == 0 and decontamination.decontaminate(docs.limit(0), bench, block_bytes=size).count() == 0
+    assert sum(clean.values()) == len(rows)
     assert decontamination.overlaps(docs, bench.limit(0)).count() == 0 and decontamination.decontaminate(docs, bench.limit(0)).count() == docs.count()
 
 

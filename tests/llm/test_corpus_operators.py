@@ -325,6 +325,59 @@ def test_leaks_are_those_of_brute_force_whatever_the_way(spark):
     assert decontamination.overlaps(docs, bench.limit(0)).count() == 0 and decontamination.decontaminate(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_word_vectors_are_those_of_the_definition(monkeypatch):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["alpha", "Beta", "gamma!", "12", "$$", "rare" + str(k)]) for _ in range(rng.randint(0, 30))).encode() for k in range(20)] + [None, b""]
+    monkeypatch.setattr(quality_classifier, "RUN", 4)
+    made = quality_classifier.learn_vectors(lambda: texts, least=3)
+    want = {t: np.zeros(quality_classifier.DIM) for t in made.ids}
+    for x in texts:
+        words = [t.lower() for t in quality_classifier.terms(x)]
+        words = [t if t in made.ids else quality_classifier.shape_of(t) for t in words]
+        for i, j in itertools.permutations(range(len(words)), 2):
+            if abs(i - j) <= 2:
+                want[words[i]] += quality_classifier.index_vector(words[j]) / abs(i - j)
+    for t, i in made.ids.items():
+        v = want[t] / max(np.linalg.norm(want[t]), 1e-9) + 0.5 * quality_classifier.index_vector(t) / np.sqrt(quality_classifier.NONZERO)
+        assert np.allclose(made.table[i], v, atol=1e-5)
+    assert "alpha" in made.ids and "rare1" not in made.ids
+
+
+def test_gradients_and_temperature():
+    rng = np.random.default_rng(1)
+    net = quality_classifier.Network(5, 3)
+    x, y = rng.normal(size=(40, 5)), (rng.random(40) < 0.4).astype(float)
+    net.mean, net.scale = x.mean(axis=0), x.std(axis=0)
+    for w, g in zip(net.w, net.gradients(x, y, 0.1), strict=True):
+        for at in np.ndindex(w.shape):
+            old = w[at]
+            w[at] = old + 1e-5
+            up = net.loss(x, y, 0.1)
+            w[at] = old - 1e-5
+            down = net.loss(x, y, 0.1)
+            w[at] = old
+            assert abs((up - down) / 2e-5 - g[at]) < 1e-6
+    # labels drawn with logits three times too sure: the temperature undoes it
+    z = rng.normal(size=20_000) * 2
+    labels = (rng.random(20_000) < 1 / (1 + np.exp(-z))).astype(float)
+    net.logits = lambda rows: 3 * rows
+    net.calibrate(z, labels)
+    assert 2.6 < net.temperature < 3.4
+
+
+def test_classifier_takes_any_rows(spark):
+    rows = [(i, ("good words here " if i % 2 else "$$ BAD!! $$ ") * (i % 7 + 1), "x", "y") for i in range(300)] + [(7, "$$ BAD", "x", "y")] * 2 + [(None, None, None, None), (1001, "", "x", "y"), (301, "good words " * 150_000, "x", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string, Predicted string")
+    labels = spark.createDataFrame([(i, int(i % 2 == 1)) for i in range(302)] + [(None, 1), (5, None), (3, 0)], "doc_id long, quality int")
+    model = quality_classifier.learn_classifier(docs, labels)
+    made = quality_classifier.classify_documents(docs, model)
+    assert made.columns == ["doc_id", "score", "predicted"] and made.count() == len(rows)
+    got = {r["doc_id"]: r["score"] for r in made.collect()}
+    assert got[11] > 0.7 > 0.3 > got[10] and got[301] > 0.5 and 0 <= got[None] <= 1 and got[1001] == got[None]
+    assert quality_classifier.classify_documents(docs.limit(0), model).count() == 0 and quality_classifier.keep_good(docs.limit(0), model).count() == 0
+    assert quality_classifier.learn_classifier(docs.limit(0), labels) is None
+
+
 def test_classifier_on_held_out_labels(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     model = quality_classifier.learn_classifier(docs, labels)

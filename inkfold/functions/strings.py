@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,9 +19,13 @@ def hangul_only(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?U)[^가-힣\s]", " "), r"(?U)\s+", " "))
 
 
+#: White space as the library sees it: Unicode's, and four separators that Java leaves out.
+BLANKS = r"(?U)[\s\x1c-\x1f]+"
+
+
 def collapsed(text: Column) -> Column:
     """Runs of white space become one space; ends are trimmed."""
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text, BLANKS, " "))
 
 
 @F.pandas_udf(T.StringType())
@@ -29,15 +34,39 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
 
 
+@functools.cache
+def uncomposed_class() -> str:
+    """A character class that every text outside NFC has a character of: those that change alone, marks, and Hangul's trailing letters."""
+    changed = [c for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000 and not 0xAC00 <= c <= 0xD7A3 and unicodedata.normalize("NFC", chr(c)) != chr(c)]
+    runs: list[list[int]] = []
+    for c in changed:
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return r"[\p{M}\x{1161}-\x{1175}\x{11A8}-\x{11C2}" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]"
+
+
 def normalized(text: Column) -> Column:
-    """NFC, then collapsed white space; null counts as empty."""
-    return collapsed(nfc(F.coalesce(text, F.lit(""))))
+    """NFC, then collapsed white space; null counts as empty. Only texts that may need composing go through Python."""
+    composed = nfc(F.when(text.rlike(uncomposed_class()), text))
+    return collapsed(F.coalesce(composed, text, F.lit("")))
+
+
+def split_tokens(text: Column) -> Column:
+    """Runs of ASCII letters, digits and Hangul syllables, with empty strings between; null gives none."""
+    return F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^0-9A-Za-z가-힣 ]+", " "), " +")
 
 
 def plain_tokens(text: Column, stopwords: tuple[str, ...] = TOKEN_STOPWORDS) -> Column:
-    """Runs of ASCII letters, digits and Hangul syllables, without stopwords; case stays. Null gives no tokens."""
-    spaced = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^0-9A-Za-z가-힣 ]", " ")
-    return F.filter(F.split(spaced, " "), lambda t: (t != "") & ~t.isin(*stopwords) if stopwords else t != "")
+    """The tokens of a text in order, without stopwords; case stays. Null gives no tokens."""
+    return F.filter(split_tokens(text), lambda t: (t != "") & ~t.isin(*stopwords) if stopwords else t != "")
+
+
+def token_rows(texts: DataFrame, keys: list[str], text: str = "text", name: str = "token", stopwords: tuple[str, ...] = TOKEN_STOPWORDS) -> DataFrame:
+    """(keys..., name), one row for each token: rows are filtered after they are exploded, in compiled code."""
+    rows = texts.select(*keys, F.explode(split_tokens(F.col(text))).alias(name))
+    return rows.where((F.col(name) != "") & ~F.col(name).isin(*stopwords) if stopwords else F.col(name) != "")
 
 
 def ngram_set(tokens: Column, n: int = 3) -> Column:

@@ -7,7 +7,9 @@ meet.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkfold.functions.vectors import clipped, saturation
@@ -96,21 +98,71 @@ def weighted_score(parts: list[Column], weights: list[float] | None = None) -> C
     return 100 * clipped(sum((w * p for w, p in zip(weights, parts, strict=True)), F.lit(0.0)) / total)
 
 
-def creativity(texts: DataFrame, words: DataFrame, morphs: DataFrame, assigned: DataFrame, clusters: int, chat: str = "chat_id") -> DataFrame:
+def first_texts(texts: DataFrame, most: int = 1000, chat: str = "chat_id", order: str = "turn") -> DataFrame:
+    """The first `most` texts of each chat, in order of a whole number that no two texts of a chat share: those that are embedded.
+
+    Rows are counted by runs of `most` places first, so that only runs that
+    can hold a first text are numbered, each by itself.
+    """
+    run = F.floor(F.col(order) / most)
+    rows = texts.withColumn("__run", run)
+    counts = rows.groupBy(chat, "__run").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(chat).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    open_runs = counts.withColumn("__before", before).where(F.col("__before") < most).select(F.col(chat).alias("__chat"), F.col("__run").alias("__r"), "__before")
+    near = rows.join(open_runs, (F.col(chat) == F.col("__chat")) & (F.col("__run") == F.col("__r")))
+    place = F.col("__before") + F.row_number().over(Window.partitionBy(chat, "__run").orderBy(order))
+    return near.withColumn("__place", place).where(F.col("__place") <= most).select(*texts.columns)
+
+
+def _folded(pairs: Column, value: Callable[[Column], Column]) -> Column:
+    """The sum over (c, m) pairs of m times a value of c."""
+    return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x["m"] * value(x["c"].cast("double")))
+
+
+def creativity(texts: DataFrame, words: DataFrame, morphs: DataFrame, assigned: DataFrame, clusters: int, chat: str = "chat_id", floor_k: float = 0.2) -> DataFrame:
     """(chat, fluency, persistence, creativity, fluency_skc, persistence_srf) for every chat with a text.
 
     texts (chat, text), words (chat, word), morphs (chat, tag), assigned
     (chat, cluster_id). Parts of chats without rows in a table are those of
-    an empty list.
+    an empty list. All tables are counted in one pass: by chat, kind and key;
+    then how many keys have each count, of which a chat has few; then each
+    chat is a row, and its scores are sums over these pairs. No table is read
+    twice and nothing is joined.
     """
-    f = fluency_parts(texts, words, chat)
-    c = cluster_coverage(texts, assigned, clusters, chat)
-    r = lexical_focus(words, chat).select(chat, "r")
-    p = cluster_focus(texts, assigned, chat)
-    m = modifier_saturation(morphs, chat).select(chat, F.col("s").alias("ps"))
-    all_parts = f.join(c, chat).join(p, chat).join(r, chat, "left").join(m, chat, "left").fillna(0.0, ["r", "ps"])
+    none = F.lit(None).cast("string")
+    rows = texts.where("text is not null").select(F.col(chat).alias("chat"), F.lit("t").alias("kind"), none.alias("key"))
+    rows = rows.unionAll(words.select(chat, F.lit("w"), F.col("word").cast("string")))
+    rows = rows.unionAll(morphs.where(F.col("tag").isin(*MODIFIER_TAGS)).select(chat, F.lit("m"), none))
+    rows = rows.unionAll(assigned.select(chat, F.lit("c"), F.col("cluster_id").cast("string")))
+    counts = rows.groupBy("chat", "kind", "key").agg(F.count("*").alias("c")).groupBy("chat", "kind", "c").agg(F.count("*").alias("m"))
+    lists = counts.groupBy("chat").agg(*(F.collect_list(F.when(F.col("kind") == k, F.struct("c", "m"))).alias(k) for k in "twmc"))
+    total = lambda k: _folded(F.col(k), lambda c: c)
+    kinds = lambda k: _folded(F.col(k), lambda c: F.lit(1.0))
+    sums = lists.select("chat", "w", "c", total("t").alias("texts"), total("m").alias("modifiers"), total("w").alias("tokens"), kinds("w").alias("distinct"), total("c").alias("embedded"), kinds("c").alias("met"), _folded(F.col("w"), lambda c: F.pow(c, F.lit(1.3))).alias("powered"))
+    sums = sums.where("texts > 0")
+    entropy = lambda k, share: _folded(F.col(k), lambda c: -share(c) * F.log(share(c) + TINY))
+    floor = floor_k / 100 if floor_k and floor_k > 1 else floor_k or 0.0
+    base_k = F.log(F.least("distinct", F.lit(500.0)) + TINY)
+    k = F.when(F.col("distinct") > 1, clipped(F.try_divide(entropy("w", lambda c: c / F.col("tokens")), base_k) * saturation(F.col("tokens"), 20))).otherwise(0.0)
+    smooth = 0.5
+    none_share = F.lit(smooth) / (F.col("embedded") + smooth * clusters)
+    h = entropy("c", lambda c: (c + smooth) / (F.col("embedded") + smooth * clusters)) + (clusters - F.col("met")) * (-none_share * F.log(none_share + TINY))
+    cover = clipped(h / F.log(F.lit(float(min(clusters, 64))) + TINY) * saturation(F.col("texts"), 5))
+    share = lambda c: F.pow(c, F.lit(1.3)) / F.col("powered")
+    r = 0.5 * _folded(F.col("w"), lambda c: share(c) * share(c)) + 0.5 * entropy("w", share) / F.log(F.col("distinct") + TINY)
+    focus = clipped(_folded(F.col("c"), lambda c: c * c) / (F.col("embedded") * F.col("embedded")) * saturation(F.col("texts"), 5))
+    has = F.col("embedded") > 0
+    parts = sums.select(
+        F.col("chat").alias(chat),
+        saturation(F.col("texts"), 8).alias("s"),
+        F.greatest(k, F.lit(float(floor))).alias("k"),
+        F.when(has, cover).otherwise(0.0).alias("c"),
+        saturation(F.col("modifiers"), 3).alias("ps"),
+        F.when(F.col("tokens") > 0, r).otherwise(0.0).alias("r"),
+        F.when(has, focus).otherwise(0.0).alias("f"),
+    )
     fluency, persistence = weighted_score([F.col("s"), F.col("k"), F.col("c")]), weighted_score([F.col("ps"), F.col("r"), F.col("f")])
-    return all_parts.select(
+    return parts.select(
         chat,
         fluency.alias("fluency"),
         persistence.alias("persistence"),

@@ -40,11 +40,11 @@ def super_keywords(lines: DataFrame, top_n: int = 30, stop: tuple[str, ...] = KE
     return counts.withColumn("place", place).where(F.col("place") <= top_n).select("super_id", "token", "n", "place")
 
 
-def top_clusters(lines: DataFrame, show: int = 10, top_n: int = 15, cid: str = "cluster_id", key: str = "line_no") -> DataFrame:
+def top_clusters(lines: DataFrame, show: int = 10, top_n: int = 15, cid: str = "cluster_id", key: str = "line_no", stop: tuple[str, ...] = ()) -> DataFrame:
     """The most frequent tokens of the largest clusters; ties by cluster id."""
     largest = lines.groupBy(cid).agg(F.count("*").alias("size")).orderBy(F.desc("size"), cid).limit(show)
     rows = lines.join(F.broadcast(largest), cid).select(key, F.col(cid).alias("super_id"), "tokens")  # `show` rows
-    return super_keywords(rows, top_n, (), key).withColumnRenamed("super_id", cid)
+    return super_keywords(rows, top_n, stop, key).withColumnRenamed("super_id", cid)
 
 
 def super_labels(labels: DataFrame, super_map: DataFrame) -> DataFrame:

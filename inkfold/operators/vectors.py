@@ -8,6 +8,8 @@ out into rows.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,10 +20,9 @@ BLOCK = 4096
 
 
 def mean_vectors(vectors: DataFrame, key: str, emb: str = "embedding") -> DataFrame:
-    """(key, emb): the element-wise mean of each key's vectors. Null keys and vectors do not count."""
-    long = vectors.where(F.col(key).isNotNull()).select(key, F.posexplode(doubles(F.col(emb))).alias("pos", "x"))
-    means = long.groupBy(key, "pos").agg(F.avg("x").alias("x"))
-    return means.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias(emb))
+    """(key, emb): the element-wise mean of each key's vectors, by a vector aggregate with partial sums. Null keys and vectors do not count."""
+    rows = vectors.where(F.col(key).isNotNull() & F.col(emb).isNotNull()).select(key, array_to_vector(doubles(F.col(emb))).alias("__v"))
+    return rows.groupBy(key).agg(vector_to_array(Summarizer.mean(F.col("__v"))).alias(emb))
 
 
 def _blocks(centroids: DataFrame, cid: str, emb: str) -> list[DataFrame]:
@@ -116,9 +117,19 @@ def balance(sizes: DataFrame, size: str = "n") -> DataFrame:
     return p.select(F.when(F.coalesce(F.col("p50"), F.lit(0.0)) <= 0, 0.0).otherwise(F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0))).alias("balance"))
 
 
+def sized_clusters(labels: DataFrame, cid: str = "cluster_id") -> DataFrame:
+    """(cluster_id, n)."""
+    return labels.groupBy(cid).agg(F.count("*").alias("n"))
+
+
+def largest_clusters(labels: DataFrame, most: int = 10, cid: str = "cluster_id") -> DataFrame:
+    """The `most` largest clusters (cluster_id, n), ties by id."""
+    return sized_clusters(labels, cid).orderBy(F.desc("n"), cid).limit(most)
+
+
 def cluster_sizes(labels: DataFrame, cid: str = "cluster_id") -> DataFrame:
     """(clusters, min, median, max, small): sizes of clusters, and how many have at most five rows."""
-    sizes = labels.groupBy(cid).agg(F.count("*").alias("n"))
+    sizes = sized_clusters(labels, cid)
     return sizes.agg(F.count("*").alias("clusters"), F.min("n").alias("min"), F.percentile("n", F.lit(0.5)).alias("median"), F.max("n").alias("max"), F.count_if(F.col("n") <= 5).alias("small"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkfold.functions.strings import adjacent_pairs
+from inkfold.operators.storage import stored
 
 #: Tags that the morph filter drops, verbs of no content, tags of meaning words and of words with a category.
 STOP_TAGS = ("JKS", "JKC", "JKO", "JKB", "JX", "JC", "JKG", "EF", "EC", "EP", "ETN", "ETM", "SF", "SE", "SP", "SS", "SO", "XSN", "XSV")
@@ -31,6 +32,11 @@ def meaning_words(morphs: DataFrame) -> DataFrame:
     return morphs.where(F.col("tag").rlike(MEANING_TAGS))
 
 
+def category_words(morphs: DataFrame) -> DataFrame:
+    """Words whose tag, by exact match, can have a category."""
+    return morphs.where(F.col("tag").isin(*CATEGORY_TAGS))
+
+
 def corpus_words(morphs: DataFrame, stopwords: tuple[str, ...] = ()) -> DataFrame:
     """Words with a corpus tag that are no stopword, in lower case."""
     kept = morphs.where(F.col("tag").isin(*CORPUS_TAGS))
@@ -73,14 +79,18 @@ def filtered_bigrams(lines: DataFrame, key: str = "line_no", min_freq: int = 5,
     """(line, tokens): known tokens followed by known pairs of neighbouring known tokens; lines under min_tokens go.
 
     Pairs are taken after the token filter, so they may join words that were
-    apart.
+    apart. Lines are tokenized once and written, filtered lines likewise; both
+    are read by their counts and by what follows.
     """
+    lines = stored(lines.select(key, "tokens"))
     known = vocabulary(token_counts(exploded(lines, "tokens", key)), min_freq, top_k_common)
-    filtered = keep_known(lines, known, key)
-    pairs = filtered.select(key, adjacent_pairs(F.col("tokens"), sep).alias("tokens"))
-    frequent = token_counts(exploded(pairs, "tokens", key)).where(F.col("n") >= min_bigram)
-    kept = keep_known(pairs, frequent, key).select(key, F.col("tokens").alias("pairs"))
-    return filtered.join(kept, key).select(key, F.concat("tokens", "pairs").alias("tokens")).where(F.size("tokens") >= min_tokens)
+    filtered = stored(keep_known(lines, known, key))
+    long = exploded(filtered.select(key, adjacent_pairs(F.col("tokens"), sep).alias("pairs")), "pairs", key)
+    frequent = token_counts(long).where(F.col("n") >= min_bigram)
+    kept = long.join(frequent.select("token"), "token", "left_semi")
+    pairs = kept.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("pairs"))
+    both = F.concat("tokens", F.coalesce("pairs", F.array().cast("array<string>")))
+    return filtered.join(pairs, key, "left").select(key, both.alias("tokens")).where(F.size("tokens") >= min_tokens)
 
 
 def ordered_pair_counts(lines: DataFrame, key: str = "line_no", sep: str = "_") -> DataFrame:

@@ -23,5 +23,17 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def spread(df: DataFrame, most_bytes: int = 64_000_000) -> DataFrame:
+    """A small table in fewer files than there are cores is dealt to all cores; any other stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most_bytes
+    return df.repartition(cores) if small and len(df.inputFiles()) < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def texts_of(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table of texts, whose rows cost more to work on than to move."""
+    return spread(table(spark, sf_dir, name).select(*columns))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfold.functions.strings import TOKEN_STOPWORDS, jaccard, ngram_set, plain_tokens, token_windows
+from inkfold.functions.strings import TOKEN_STOPWORDS, jaccard, ngram_set, plain_tokens, token_rows, token_windows
 from inkfold.functions.vectors import doubles
 from inkfold.operators import dedup, scoring, vectors, vocab
-from inkfold.plans.registry import query, table
+from inkfold.operators.storage import stored
+from inkfold.plans.registry import query, table, texts_of
 
 STOP_SQL = ", ".join(f"'{w}'" for w in TOKEN_STOPWORDS)
 #: Tokens of a text, in DuckDB.
@@ -19,7 +20,7 @@ LINES_SQL = f"lines AS (SELECT doc_id AS line_no, {TOKENS_SQL} AS tokens FROM do
 LONG_SQL = "long AS (SELECT line_no, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM lines)"
 CENTERS_SQL = "centers AS (SELECT cluster_id, list(x ORDER BY i) AS c FROM (SELECT label AS cluster_id, i, avg(embedding[i]::DOUBLE) AS x FROM embeddings, range(1, 65) t(i) GROUP BY label, i) GROUP BY cluster_id)"
 NEAREST_SQL = "nearest AS (SELECT vec_id, arg_min(cluster_id, {'d': list_distance(embedding::DOUBLE[], c), 'k': cluster_id}) AS cluster_id FROM embeddings, centers GROUP BY vec_id)"
-ASSIGNED_SQL = "assigned AS (SELECT conv_id, cluster_id FROM turns JOIN nearest ON vec_id = (conv_id * 8 + turn) % 500)"
+ASSIGNED_SQL = "nv AS (SELECT count(*) AS nv FROM embeddings), assigned AS (SELECT conv_id, cluster_id FROM turns, nv JOIN nearest ON vec_id = (conv_id * 8 + turn) % nv)"
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,24 +29,30 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def words_of(texts: DataFrame) -> DataFrame:
-    return texts.select("conv_id", F.explode(plain_tokens(F.col("text"))).alias("word"))
+    return token_rows(texts, ["conv_id"], name="word")
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(line_no, tokens) of documents."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("line_no"), plain_tokens(F.col("text")).alias("tokens"))
+    return texts_of(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").alias("line_no"), plain_tokens(F.col("text")).alias("tokens"))
+
+
+def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(line_no, text) of documents."""
+    return texts_of(spark, sf_dir, "documents", "doc_id", "text").withColumnRenamed("doc_id", "line_no")
 
 
 def centers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(cluster_id, embedding): mean vectors by label."""
-    return vectors.mean_vectors(table(spark, sf_dir, "embeddings"), "label").withColumnRenamed("label", "cluster_id")
+    """(cluster_id, embedding): mean vectors by label, written once, as most plans read them several times."""
+    return stored(vectors.mean_vectors(table(spark, sf_dir, "embeddings"), "label").withColumnRenamed("label", "cluster_id"))
 
 
-def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(conv_id, cluster_id): each prompt's nearest cluster; the vector of a prompt stands at a place that its ids give."""
+def assigned(spark: SparkSession, sf_dir: str, middles: DataFrame | None = None) -> DataFrame:
+    """(conv_id, cluster_id): each embedded prompt's nearest cluster; the vector of a prompt stands at a place that its ids give."""
     points = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    nearest = vectors.assign_nearest(points, centers(spark, sf_dir)).select("vec_id", "cluster_id")
-    return turns(spark, sf_dir).select("conv_id", ((F.col("conv_id") * 8 + F.col("turn")) % 500).alias("vec_id")).join(nearest, "vec_id").select("conv_id", "cluster_id")
+    nearest = vectors.assign_nearest(points, centers(spark, sf_dir) if middles is None else middles).select("vec_id", "cluster_id")
+    prompts = scoring.first_texts(turns(spark, sf_dir), 1000, "conv_id", "turn")
+    return prompts.select("conv_id", ((F.col("conv_id") * 8 + F.col("turn")) % points.count()).alias("vec_id")).join(nearest, "vec_id").select("conv_id", "cluster_id")
 
 
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
@@ -101,8 +108,8 @@ cov AS (SELECT nt.conv_id,
 
 @query(f"WITH {TURNS_SQL}, {CENTERS_SQL}, {NEAREST_SQL}, {ASSIGNED_SQL}, {COVER_SQL} SELECT conv_id, round(c, 6) AS c FROM cov")
 def cluster_coverage_c(spark, sf_dir):
-    k = centers(spark, sf_dir).count()
-    return rounded(scoring.cluster_coverage(turns(spark, sf_dir), assigned(spark, sf_dir), k, "conv_id"), "c")
+    middles = centers(spark, sf_dir)
+    return rounded(scoring.cluster_coverage(turns(spark, sf_dir), assigned(spark, sf_dir, middles), middles.count(), "conv_id"), "c")
 
 
 @query(f"WITH {TURNS_SQL}, {CENTERS_SQL}, {NEAREST_SQL}, {ASSIGNED_SQL}, {COVER_SQL} SELECT conv_id, round(f, 6) AS f FROM cov")
@@ -117,22 +124,27 @@ sc AS (SELECT conv_id, 100 * least(greatest((s + k + c) / 3, 0), 1) AS fluency,
 SELECT conv_id, round(fluency, 4) AS fluency, round(persistence, 4) AS persistence, round(0.5 * fluency + 0.5 * persistence, 4) AS creativity FROM sc"""
 )
 def creativity_scores(spark, sf_dir):
-    texts = turns(spark, sf_dir)
-    scores = scoring.creativity(texts, words_of(texts), morphs(texts), assigned(spark, sf_dir), centers(spark, sf_dir).count(), "conv_id")
+    texts, middles = turns(spark, sf_dir), centers(spark, sf_dir)
+    scores = scoring.creativity(texts, words_of(texts), morphs(texts), assigned(spark, sf_dir, middles), middles.count(), "conv_id")
     return rounded(scores.select("conv_id", "fluency", "persistence", "creativity"), "fluency", "persistence", "creativity", digits=4)
 
 
+@query(f"WITH {TURNS_SQL} SELECT conv_id, turn FROM turns QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 2")
+def first_prompts(spark, sf_dir):
+    return scoring.first_texts(turns(spark, sf_dir), 2, "conv_id", "turn").select("conv_id", "turn")
+
+
 # ------------------------------------------------------------------ vocabulary
 
 
 @query(f"WITH {LINES_SQL}, {LONG_SQL} SELECT token, count(*) AS n FROM long GROUP BY token")
 def token_frequency(spark, sf_dir):
-    return vocab.token_counts(vocab.exploded(lines(spark, sf_dir), "tokens", "line_no"))
+    return vocab.token_counts(token_rows(raw_lines(spark, sf_dir), []))
 
 
 @query(f"WITH {LINES_SQL}, {LONG_SQL} SELECT token, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS freq FROM long GROUP BY token")
 def relative_frequency(spark, sf_dir):
-    return rounded(vocab.relative_frequency(token_frequency(spark, sf_dir)), "freq", digits=9)
+    return rounded(vocab.relative_frequency(stored(token_frequency(spark, sf_dir))), "freq", digits=9)
 
 
 @query(f"WITH {LINES_SQL}, p AS (SELECT unnest(list_transform(range(1, len(tokens)), lambda i: tokens[i] || '_' || tokens[i + 1])) AS token FROM lines) SELECT token, count(*) AS n FROM p GROUP BY token")
@@ -154,9 +166,9 @@ def vocab_filtered_bigrams(spark, sf_dir):
     return made.select("line_no", F.size("tokens").cast("long").alias("n"), F.md5(F.array_join("tokens", " ").cast("binary")).alias("digest"))
 
 
-@query(f"WITH {LINES_SQL}, {LONG_SQL}, c AS (SELECT token, count(*) AS n FROM long GROUP BY token HAVING count(*) >= 5) SELECT token, n FROM c WHERE token NOT IN (SELECT token FROM c ORDER BY n DESC, token LIMIT 50)")
+@query(f"WITH {LINES_SQL}, {LONG_SQL}, c AS (SELECT token, count(*) AS n FROM long GROUP BY token HAVING count(*) >= 5), common AS (SELECT token FROM c ORDER BY n DESC, token LIMIT 50) SELECT token, n FROM c ANTI JOIN common USING (token)")
 def drop_common_topk(spark, sf_dir):
-    return vocab.vocabulary(token_frequency(spark, sf_dir), 5, 50)
+    return vocab.vocabulary(stored(token_frequency(spark, sf_dir)), 5, 50)
 
 
 @query(f"WITH {LINES_SQL} SELECT line_no, len(tokens) AS n FROM lines WHERE len(tokens) >= 100")
@@ -167,36 +179,50 @@ def min_token_lines(spark, sf_dir):
 # ---------------------------------------------------------------- deduplication
 
 
-@query("SELECT min(doc_id) AS line_no FROM documents WHERE trim(text) <> '' GROUP BY text")
+#: A normalised text, in DuckDB, whose white space in patterns is ASCII's only.
+NORMAL_SQL = r"trim(regexp_replace(nfc_normalize(coalesce(text, '')), '[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'))"
+CLEAN_SQL = f"clean AS (SELECT doc_id, {NORMAL_SQL} AS text FROM documents)"
+
+
+@query(f"WITH {CLEAN_SQL} SELECT min(doc_id) AS line_no FROM clean WHERE text <> '' GROUP BY text")
 def exact_dedup(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("line_no"), "text")
-    return dedup.exact_dedup(docs).select("line_no")
+    return dedup.exact_dedup(raw_lines(spark, sf_dir)).select("line_no")
 
 
-@query("SELECT count(*) AS n_in, count(DISTINCT CASE WHEN trim(text) <> '' THEN text END) AS n_out FROM documents")
+@query(f"WITH {CLEAN_SQL} SELECT count(*) AS n_in, count(DISTINCT CASE WHEN text <> '' THEN text END) AS n_out FROM clean")
 def dedup_counts(spark, sf_dir):
-    return dedup.dedup_counts(table(spark, sf_dir, "documents"))
+    return dedup.dedup_counts(raw_lines(spark, sf_dir))
 
 
-SIGN_SQL = f"{LINES_SQL}, sg AS (SELECT line_no, md5(array_to_string(list_sort(tokens[1:6]), '|')) AS sig, tokens FROM lines)"
+SIGN_SQL = f"{CLEAN_SQL}, lines AS (SELECT doc_id AS line_no, text, {TOKENS_SQL} AS tokens FROM clean), sg AS (SELECT line_no, text, md5(array_to_string(list_sort(tokens[1:6]), '|')) AS sig, tokens FROM lines)"
 
 
 @query(f"WITH {SIGN_SQL} SELECT line_no, sig, (('0x' || sig[1:8])::BIGINT % 1024)::INT AS shard FROM sg")
 def shard_signature(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("line_no"), "text")
-    return dedup.with_signature(docs).select("line_no", "sig", "shard")
+    return dedup.with_signature(raw_lines(spark, sf_dir)).select("line_no", "sig", "shard")
+
+
+#: Of pairs (i, j), i before j: the rows that go if a row goes with any earlier one that stays.
+GREEDY_SQL = """nodes AS (SELECT j, row_number() OVER (ORDER BY {order}) AS n, list(i) AS before FROM pairs GROUP BY {by}),
+walk AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS gone UNION ALL
+  SELECT nodes.n, CASE WHEN len(list_filter(before, lambda i: NOT list_contains(gone, i))) > 0 THEN list_append(gone, j) ELSE gone END FROM walk JOIN nodes ON nodes.n = walk.n + 1),
+gone AS (SELECT unnest(gone) AS id FROM (SELECT gone FROM walk ORDER BY n DESC LIMIT 1))"""
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {SIGN_SQL}, g AS (SELECT min(line_no) AS line_no, any_value(('0x' || sig[1:8])::BIGINT % 1024) AS shard,
+  list_distinct(list_transform(range(1, greatest(len(any_value(tokens)) - 1, 1)), lambda k: any_value(tokens)[k] || ' ' || any_value(tokens)[k + 1] || ' ' || any_value(tokens)[k + 2])) AS g FROM sg WHERE text <> '' GROUP BY text),
+pairs AS (SELECT a.line_no AS i, b.line_no AS j FROM g a JOIN g b ON a.shard = b.shard AND a.line_no < b.line_no WHERE len(a.g) > 0 AND len(b.g) > 0
+  AND least(len(a.g), len(b.g)) >= 0.9 * greatest(len(a.g), len(b.g)) AND len(list_intersect(a.g, b.g)) >= 0.9 * (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))),
+{GREEDY_SQL.format(order="j", by="j")} SELECT line_no FROM g WHERE line_no NOT IN (SELECT id FROM gone)""".replace("any_value(tokens)", "first(tokens)")
+)
 def near_dup_greedy(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("line_no"), "text")
-    return dedup.near_dedup(docs, 0.9, 1024).select("line_no")
+    return dedup.near_dedup(raw_lines(spark, sf_dir), 0.9, 1024).select("line_no")
 
 
-@query(f"WITH {SIGN_SQL}, p AS (SELECT line_no, row_number() OVER (PARTITION BY sig[1:8], tokens[1:4] ORDER BY md5(text), line_no) AS n FROM sg JOIN documents ON doc_id = line_no) SELECT line_no FROM p WHERE n <= 2")
+@query(f"WITH {SIGN_SQL}, p AS (SELECT line_no, row_number() OVER (PARTITION BY sig[1:8], tokens[1:4] ORDER BY md5(text), line_no) AS n FROM sg WHERE text <> '') SELECT line_no FROM p WHERE n <= 2")
 def template_cap(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("line_no"), "text")
-    return dedup.cap_templates(docs, 2, shards=1 << 31).select("line_no")
+    return dedup.cap_templates(raw_lines(spark, sf_dir), 2, shards=1 << 31).select("line_no")
 
 
 @query(f"WITH {LINES_SQL}, w AS (SELECT line_no, tokens, unnest(CASE WHEN len(tokens) = 0 THEN [] WHEN len(tokens) <= 62 THEN [0] ELSE range(0, len(tokens), 46) END) AS st FROM lines) SELECT line_no, (st // 46)::INT AS win, md5(array_to_string(tokens[st + 1:st + 62], ' ')) AS digest FROM w")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from inkfold.functions.strings import TOKEN_STOPWORDS, split_tokens
 from inkfold.operators import clustering, taxonomy, vectors
+from inkfold.operators.storage import stored
 from inkfold.plans.registry import query, table
-from inkfold.plans.text_queries import CENTERS_SQL, LINES_SQL, LONG_SQL, NEAREST_SQL, TOKENS_SQL, centers, lines, rounded, unit_rows
+from inkfold.plans.text_queries import CENTERS_SQL, LINES_SQL, LONG_SQL, NEAREST_SQL, TOKENS_SQL, centers, raw_lines, rounded, unit_rows
 
 COS_SQL = "list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})) + 1e-12)"
 
@@ -109,9 +111,9 @@ LABELLED_SQL = f"{LINES_SQL}, {LONG_SQL}, lab AS (SELECT line_no, label AS clust
 
 
 def labelled(spark, sf_dir):
-    """(line_no, cluster_id, tokens): documents with the label of the vector of the same number."""
+    """(line_no, cluster_id, tokens): documents with the label of the vector of the same number; stopwords are dropped with the keywords'."""
     labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("line_no"), F.col("label").alias("cluster_id"))
-    return taxonomy.labelled_lines(lines(spark, sf_dir), labels)
+    return taxonomy.labelled_lines(raw_lines(spark, sf_dir), labels).withColumn("tokens", split_tokens(F.col("text"))).drop("text")
 
 
 def super_map(spark, sf_dir):
@@ -123,13 +125,18 @@ RANKED_SQL = "SELECT {k}, token, count(*) AS n, row_number() OVER (PARTITION BY
 
 @query(f"WITH {LABELLED_SQL}, r AS ({RANKED_SQL.format(k='super_id', t='lab')}) SELECT super_id, token, n, place::INT AS place FROM r WHERE place <= 30")
 def super_top_keywords(spark, sf_dir):
-    return taxonomy.super_keywords(taxonomy.super_of(labelled(spark, sf_dir), super_map(spark, sf_dir)))
+    return taxonomy.super_keywords(taxonomy.super_of(labelled(spark, sf_dir), super_map(spark, sf_dir)), stop=taxonomy.KEYWORD_STOP_RUNTIME + TOKEN_STOPWORDS)
 
 
 @query(f"""WITH {LABELLED_SQL}, big AS (SELECT cluster_id FROM (SELECT label AS cluster_id, count(*) AS n FROM embeddings JOIN documents ON vec_id = doc_id GROUP BY label) ORDER BY n DESC, cluster_id LIMIT 5),
 lb AS (SELECT * FROM lab SEMI JOIN big USING (cluster_id)), r AS ({RANKED_SQL.format(k="cluster_id", t="lb")}) SELECT cluster_id, token, n, place::INT AS place FROM r WHERE place <= 10""")
 def top_tokens_per_cluster(spark, sf_dir):
-    return taxonomy.top_clusters(labelled(spark, sf_dir), 5, 10)
+    return taxonomy.top_clusters(labelled(spark, sf_dir), 5, 10, stop=TOKEN_STOPWORDS)
+
+
+@query("SELECT label, count(*) AS n FROM embeddings GROUP BY label ORDER BY n DESC, label LIMIT 10")
+def largest_clusters(spark, sf_dir):
+    return vectors.largest_clusters(table(spark, sf_dir, "embeddings"), 10, "label")
 
 
 @query("SELECT vec_id AS line_no, (label % 4)::INT AS super_id FROM embeddings")
@@ -161,15 +168,16 @@ def keyword_map_inversion(spark, sf_dir):
 @query(
     f"""WITH {CENTERS_SQL}, {NEAREST_SQL}, {INVERTED_SQL},
 w AS (SELECT DISTINCT conv_id AS prompt_id, unnest({TOKENS_SQL}) AS word FROM conversations WHERE role = 'user' AND trim(text) <> ''),
-v AS (SELECT prompt_id, word, ('0x' || md5(word)[1:8])::BIGINT % 500 AS vec_id FROM w)
+v AS (SELECT prompt_id, word, ('0x' || md5(word)[1:8])::BIGINT % (SELECT count(*) FROM embeddings) AS vec_id FROM w)
 SELECT prompt_id, word, coalesce(category, CASE WHEN cluster_id % 4 = 1 THEN 'one' ELSE 'super_' || (cluster_id % 4) END) AS category FROM v LEFT JOIN inv ON keyword = word LEFT JOIN nearest USING (vec_id)"""
 )
 def category_lookup_fallback(spark, sf_dir):
     from inkfold.functions.strings import shard_of
     from inkfold.plans.text_queries import turns, words_of
 
-    words = words_of(turns(spark, sf_dir)).withColumnRenamed("conv_id", "prompt_id")
-    place = shard_of(F.md5(F.col("word").cast("binary")), 500).cast("long")
-    embedded = words.select("word").distinct().withColumn("vec_id", place).join(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id").select("word", "embedding")
+    points = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    words = stored(words_of(turns(spark, sf_dir)).withColumnRenamed("conv_id", "prompt_id").distinct())
+    place = shard_of(F.md5(F.col("word").cast("binary")), points.count()).cast("long")
+    embedded = words.select("word").distinct().withColumn("vec_id", place).join(points, "vec_id").select("word", "embedding")
     names = spark.createDataFrame([(1, "one")], "super_id int, name string")
     return taxonomy.predict_categories(words, taxonomy.keyword_categories(categories(spark)), embedded, centers(spark, sf_dir), super_map(spark, sf_dir), names)

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from inkfold.functions.strings import plain_tokens
+from inkfold.operators.dedup import normalized_lines
 from inkfold.operators.scoring import fluency_parts
 
 
 def dedup_stream(lines: DataFrame, text: str = "text", time: str | None = None, within: str = "1 hour") -> DataFrame:
-    """The first row of each text. With an event time the state is bounded by the watermark; without one it is kept for ever."""
-    hashed = lines.where(F.trim(F.col(text)) != "").withColumn("__h", F.md5(F.col(text).cast("binary")))
+    """The first row of each normalised text, blank ones left out. With an event time the state is bounded by the watermark; without one it is kept for ever."""
+    hashed = normalized_lines(lines, text).withColumn("__h", F.md5(F.col(text).cast("binary")))
     if time is None:
         return hashed.dropDuplicates(["__h"]).drop("__h")
     return hashed.withWatermark(time, within).dropDuplicatesWithinWatermark(["__h"]).drop("__h")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import unicodedata
 
 import pandas as pd
@@ -34,23 +33,14 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
 
 
-@functools.cache
-def uncomposed_class() -> str:
-    """A character class that every text outside NFC has a character of: those that change alone, marks, and Hangul's trailing letters."""
-    changed = [c for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000 and not 0xAC00 <= c <= 0xD7A3 and unicodedata.normalize("NFC", chr(c)) != chr(c)]
-    runs: list[list[int]] = []
-    for c in changed:
-        if runs and runs[-1][1] == c - 1:
-            runs[-1][1] = c
-        else:
-            runs.append([c, c])
-    return r"[\p{M}\x{1161}-\x{1175}\x{11A8}-\x{11C2}" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]"
+#: Ranges of characters that are composed and combine with none of their kind: Latin, punctuation, kana, Han and Hangul syllables.
+COMPOSED = ((0x0000, 0x02FF), (0x2010, 0x2027), (0x3001, 0x3029), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0xFF01, 0xFF9D))
 
 
 def normalized(text: Column) -> Column:
-    """NFC, then collapsed white space; null counts as empty. Only texts that may need composing go through Python."""
-    composed = nfc(F.when(text.rlike(uncomposed_class()), text))
-    return collapsed(F.coalesce(composed, text, F.lit("")))
+    """NFC, then collapsed white space; null counts as empty. Texts of composed characters only do not go through Python."""
+    plain = text.rlike(r"\A[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in COMPOSED) + r"]*+\z")
+    return collapsed(F.coalesce(nfc(F.when(~plain, text)), text, F.lit("")))
 
 
 def split_tokens(text: Column) -> Column:
@@ -82,6 +72,12 @@ def ngram_set(tokens: Column, n: int = 3) -> Column:
     return F.array_distinct(out)
 
 
+def ngram_hashes(tokens: str, n: int = 3) -> Column:
+    """Distinct 64-bit hashes of runs of n tokens. tokens names a column that is stored as it is: it is read for every place."""
+    parts = ", ".join(f"get({tokens}, i + {k})" for k in range(n))
+    return F.when(F.size(tokens) >= n, F.array_distinct(F.expr(f"transform(sequence(0, size({tokens}) - {n}), i -> xxhash64({parts}))"))).otherwise(F.array().cast("array<bigint>"))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Shared over all elements of two sets; 0 if either is empty."""
     both = F.size(F.array_intersect(a, b))

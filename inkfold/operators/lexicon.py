@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,17 +15,104 @@ LEXICON_COLUMNS = ("surface", "left_id", "right_id", "cost", "pos", "semantic_cl
 LEXICON_SCHEMA = T.StructType([T.StructField(c, T.IntegerType() if c in ("left_id", "right_id", "cost") else T.StringType()) for c in LEXICON_COLUMNS])
 #: Semantic classes that an expression may name.
 EXPRESSION_CLASSES = ("*", "인명", "지명")
-#: Code-point ranges of character classes, low and high end.
-CHARACTER_CLASSES = (
-    (0x0009, 0x000D, "SPACE"), (0x0020, 0x0020, "SPACE"),
-    (0x0021, 0x002F, "SYMBOL"), (0x0030, 0x0039, "NUMERIC"), (0x003A, 0x0040, "SYMBOL"), (0x0041, 0x005A, "ALPHA"),
-    (0x005B, 0x0060, "SYMBOL"), (0x0061, 0x007A, "ALPHA"), (0x007B, 0x007E, "SYMBOL"), (0x00A1, 0x00BF, "SYMBOL"),
-    (0x00C0, 0x0236, "ALPHA"), (0x0374, 0x03FB, "GREEK"), (0x0400, 0x04F9, "CYRILLIC"), (0x0500, 0x050F, "CYRILLIC"),
-    (0x1100, 0x11FF, "HANGUL"), (0x1E00, 0x1EF9, "ALPHA"), (0x2E80, 0x2EF3, "HANJA"), (0x2F00, 0x2FD5, "KANJI"),
-    (0x3005, 0x3005, "HANJA"), (0x3007, 0x3007, "HANJA"), (0x3041, 0x309F, "HIRAGANA"), (0x30A1, 0x30FF, "KATAKANA"),
-    (0x3130, 0x318F, "HANGUL"), (0x31F0, 0x31FF, "KATAKANA"), (0x3400, 0x4DB5, "HANJA"), (0x4E00, 0x9FA5, "HANJA"),
-    (0xAC00, 0xD7A3, "HANGUL"), (0xF900, 0xFA2D, "HANJA"), (0xFA30, 0xFA6A, "HANJA"), (0xFF66, 0xFF9F, "KATAKANA"),
-)
+#: Code points from, to, and their classes; of several rows for a code point the last one holds.
+CHARACTER_TABLE = """
+0020 0020 SPACE
+000D 000D SPACE
+0009 0009 SPACE
+000B 000B SPACE
+000A 000A SPACE
+0021 002F SYMBOL
+0030 0039 NUMERIC
+003A 0040 SYMBOL
+0041 005A ALPHA
+005B 0060 SYMBOL
+0061 007A ALPHA
+007B 007E SYMBOL
+00A1 00BF SYMBOL
+00C0 00FF ALPHA
+0100 017F ALPHA
+0180 0236 ALPHA
+1E00 1EF9 ALPHA
+0400 04F9 CYRILLIC
+0500 050F CYRILLIC
+0374 03FB GREEK
+AC00 D7A3 HANGUL
+1100 11FF HANGUL
+3130 318F HANGUL
+3041 309F HIRAGANA
+30A1 30FF KATAKANA
+31F0 31FF KATAKANA
+30FC 30FC KATAKANA
+FF66 FF9D KATAKANA
+FF9E FF9F KATAKANA
+2E80 2EF3 HANJA
+3005 3005 HANJA
+3007 3007 HANJA
+3400 4DB5 HANJA
+4E00 9FA5 HANJA
+F900 FA2D HANJA
+FA30 FA6A HANJA
+2F00 2FD5 KANJI
+4E00 4E00 HANJANUMERIC HANJA
+4E8C 4E8C HANJANUMERIC HANJA
+4E09 4E09 HANJANUMERIC HANJA
+56DB 56DB HANJANUMERIC HANJA
+4E94 4E94 HANJANUMERIC HANJA
+516D 516D HANJANUMERIC HANJA
+4E03 4E03 HANJANUMERIC HANJA
+516B 516B HANJANUMERIC HANJA
+4E5D 4E5D HANJANUMERIC HANJA
+5341 5341 HANJANUMERIC HANJA
+767E 767E HANJANUMERIC HANJA
+5343 5343 HANJANUMERIC HANJA
+4E07 4E07 HANJANUMERIC HANJA
+5104 5104 HANJANUMERIC HANJA
+5146 5146 HANJANUMERIC HANJA
+FF10 FF19 NUMERIC
+FF21 FF3A ALPHA
+FF41 FF5A ALPHA
+FF01 FF0F SYMBOL
+FF1A FF1F SYMBOL
+FF3B FF40 SYMBOL
+FF5B FF65 SYMBOL
+FFE0 FFEF SYMBOL
+2000 206F SYMBOL
+2070 209F NUMERIC
+20A0 20CF SYMBOL
+20D0 20FF SYMBOL
+2100 214F SYMBOL
+2150 218F NUMERIC
+2100 214B SYMBOL
+2190 21FF SYMBOL
+2200 22FF SYMBOL
+2300 23FF SYMBOL
+2460 24FF SYMBOL
+2501 257F SYMBOL
+2580 259F SYMBOL
+25A0 25FF SYMBOL
+2600 26FE SYMBOL
+2700 27BF SYMBOL
+27F0 27FF SYMBOL
+27C0 27EF SYMBOL
+2800 28FF SYMBOL
+2900 297F SYMBOL
+2B00 2BFF SYMBOL
+2A00 2AFF SYMBOL
+3300 33FF SYMBOL
+3200 32FE SYMBOL
+3000 303F SYMBOL
+FE30 FE4F SYMBOL
+FE50 FE6B SYMBOL
+3007 3007 SYMBOL HANJANUMERIC
+"""
+#: (from, to, classes) of each row.
+CHARACTER_CLASSES = tuple((int(a, 16), int(b, 16), tuple(names)) for a, b, *names in (row.split() for row in CHARACTER_TABLE.split("\n") if row))
+#: The tag of unknown words by character class.
+UNKNOWN_TAGS = {
+    "DEFAULT": "SY", "SPACE": "SP", "ALPHA": "SL", "CYRILLIC": "SL", "GREEK": "SL", "HANGUL": "UNKNOWN", "HANJA": "SH",
+    "HIRAGANA": "SL", "KANJI": "SL", "HANJANUMERIC": "SH", "KATAKANA": "SL", "NUMERIC": "SN", "SYMBOL": "SY",
+}
 
 
 def missing_to_null(lexicon: DataFrame) -> DataFrame:
@@ -41,11 +130,21 @@ def with_final_consonant(lexicon: DataFrame) -> DataFrame:
     return lexicon.withColumn("jongsung", final_consonant(F.coalesce(F.nullif(F.col("read"), F.lit("*")), F.col("surface"))))
 
 
-def export_rows(lexicon: DataFrame, pos: str | None = None) -> DataFrame:
-    """The twelve columns in file order, by surface, pos and class; available rows only, of one pos if given."""
+def class_rows(lexicon: DataFrame, class_name: str) -> DataFrame:
+    """The twelve columns of available rows of a class, in export order."""
+    return export_rows(lexicon.where(F.col("class_name") == class_name))
+
+
+def main_rows(lexicon: DataFrame) -> DataFrame:
+    """Rows of no class, which are exported by pos."""
+    return lexicon.where(F.nullif(F.col("class_name"), F.lit("")).isNull())
+
+
+def export_rows(lexicon: DataFrame, pos: str | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
+    """The twelve columns in file order, and any extra ones, by surface, pos and class; available rows only, of one pos if given."""
     rows = lexicon.where(F.coalesce(F.col("is_available"), F.lit(1)) == 1) if "is_available" in lexicon.columns else lexicon
     rows = rows if pos is None else rows.where((F.col("pos") == pos) & (F.coalesce(F.col("semantic_class"), F.lit("*")) == "*"))
-    return null_to_missing(with_final_consonant(rows).select(*LEXICON_COLUMNS)).orderBy("surface", "pos", "semantic_class")
+    return null_to_missing(with_final_consonant(rows).select(*LEXICON_COLUMNS, *extra)).orderBy("surface", "pos", "semantic_class")
 
 
 def expression_tokens(expression: Column, all_parts: bool = False) -> Column:
@@ -171,13 +270,58 @@ def override_connections(matrix: DataFrame, overrides: DataFrame) -> DataFrame:
     return matrix.join(last, ["right_id", "left_id"], "left").withColumn("cost", F.coalesce("new_cost", "cost")).select("right_id", "left_id", "cost")
 
 
-def character_class(character: Column) -> Column:
-    """The class of the first character; DEFAULT outside all ranges."""
+def character_classes(character: Column) -> Column:
+    """All classes of the first character, its own class first; DEFAULT outside all ranges, null for an empty string."""
     cp = F.ascii(character)
-    out = F.when(character.isNull() | (character == ""), F.lit(None).cast("string"))
-    for lo, hi, name in CHARACTER_CLASSES:
-        out = out.when(cp.between(lo, hi), name)
-    return out.otherwise("DEFAULT")
+    out = F.when(character.isNull() | (character == ""), F.lit(None).cast("array<string>"))
+    for low, high, names in reversed(CHARACTER_CLASSES):
+        out = out.when(cp.between(low, high), F.array(*map(F.lit, names)))
+    return out.otherwise(F.array(F.lit("DEFAULT")))
+
+
+def character_class(character: Column) -> Column:
+    """The class of the first character."""
+    return F.get(character_classes(character), F.lit(0))
+
+
+def unknown_tag(character: Column) -> Column:
+    """The tag that a word of unknown characters gets, by the class of its first one."""
+    return F.element_at(F.create_map(*(F.lit(x) for pair in UNKNOWN_TAGS.items() for x in pair)), character_class(character))
+
+
+def pos_ids(features: DataFrame, table: DataFrame, key: str = "id") -> DataFrame:
+    """(key, pos_id): of each row of features (key, features array) by the first row (place, pattern array, pos_id) of a table that it matches, * being anything; null without one.
+
+    A table row is a regular expression over joined features, and the table
+    is a fixed, short list, so it becomes one ordered conditional.
+    """
+    joined, out = F.array_join("features", ","), None
+    for r in table.orderBy("place").collect():
+        hit = joined.rlike("^" + ",".join("[^,]*" if p == "*" else re.escape(p) for p in r["pattern"]) + "$")
+        out = F.when(hit, r["pos_id"]) if out is None else out.when(hit, r["pos_id"])
+    return features.select(key, (F.lit(None).cast("int") if out is None else out).alias("pos_id"))
+
+
+def matched_context_id(wanted: DataFrame, ids: DataFrame, key: str = "key", pattern: str = "pattern") -> DataFrame:
+    """Adds context_id: of the first line (place, id, features) whose features the row's pattern matches from their start, as a search of the file for its first hit does; null without one.
+
+    wanted is the short list of lines of a settings file (see
+    `context_pattern`); its patterns go to the table, so each line of the
+    table is read once. Over 10,000 patterns are refused.
+    """
+    few = wanted.select(F.col(key).alias("__key"), F.col(pattern).alias("__pattern"))
+    if (n := few.count()) > 10_000:
+        raise ValueError(f"{n} patterns; a settings list of at most 10000 is expected")
+    hit = ids.join(F.broadcast(few), F.expr("regexp_like(features, concat('^', __pattern))"))  # a counted side
+    first = hit.groupBy("__key").agg(F.min_by("id", "place").alias("context_id"))
+    return wanted.join(first, F.col(key) == F.col("__key"), "left").drop("__key")
+
+
+def context_pattern(side: str, tag: Column, semantic_class: Column, jongsung: Column, reading: Column) -> Column:
+    """The pattern that a left or right context is looked up with; a right one without a reading ends with the final consonant."""
+    last = F.lit(r"\*") if side == "left" else jongsung
+    whole = F.concat_ws(",", tag, semantic_class, last, reading)
+    return whole if side == "left" else F.when(F.coalesce(reading, F.lit("")) == "", F.concat_ws(",", tag, semantic_class, last)).otherwise(whole)
 
 
 def pattern_to_regex(pattern: Column) -> Column:

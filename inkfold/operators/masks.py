@@ -6,6 +6,8 @@ inference is an outside provider.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -25,10 +27,11 @@ def encode_rle(pixels: DataFrame, height: Column, key: str = "mask_id") -> DataF
 
 
 def decode_rle(masks: DataFrame, key: str = "mask_id") -> DataFrame:
-    """(key, y, x, on) from (key, height, counts)."""
-    ends = F.transform("counts", lambda c, i: F.aggregate(F.slice("counts", 1, i + 1), F.lit(0).cast("long"), lambda s, n: s + n))
-    runs = masks.select(key, "height", F.posexplode(F.arrays_zip(F.col("counts").cast("array<long>").alias("n"), ends.alias("end"))).alias("k", "r")).where(F.col("r.n") > 0)
-    at = runs.select(key, "height", (F.col("k") % 2 == 1).alias("on"), F.explode(F.sequence(F.col("r.end") - F.col("r.n"), F.col("r.end") - 1)).alias("at"))
+    """(key, y, x, on) from (key, height, counts). Runs become rows with their ends from one running sum."""
+    runs = masks.select(key, "height", F.posexplode(F.col("counts").cast("array<long>")).alias("k", "n"))
+    before = Window.partitionBy(key).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    runs = runs.withColumn("end", F.sum("n").over(before)).where(F.col("n") > 0)
+    at = runs.select(key, "height", (F.col("k") % 2 == 1).alias("on"), F.explode(F.sequence(F.col("end") - F.col("n"), F.col("end") - 1)).alias("at"))
     return at.select(key, (F.col("at") % F.col("height")).alias("y"), F.floor(F.col("at") / F.col("height")).alias("x"), "on")
 
 
@@ -82,6 +85,68 @@ def uncropped(boxes: DataFrame) -> DataFrame:
     return boxes.select("*", *((F.col(c) + F.col(f"crop_{c[0]}0")).alias(f"full_{c}") for c in ("x0", "y0", "x1", "y1")))
 
 
+def uncropped_points(points: DataFrame) -> DataFrame:
+    """Points (x, y) of a crop in the image's frame."""
+    return points.select("*", (F.col("x") + F.col("crop_x0")).alias("full_x"), (F.col("y") + F.col("crop_y0")).alias("full_y"))
+
+
+def uncropped_masks(masks: DataFrame, key: str = "mask_id") -> DataFrame:
+    """(key, counts): run lengths of a crop's masks in the frame of the image, off outside the crop.
+
+    masks: (key, counts in column order, crop_x0, crop_y0, crop_x1, crop_y1,
+    height, width of the image). Runs move column by column; only the pixels
+    that are on are placed.
+    """
+
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for counts, x0, y0, x1, y1, h, w in zip(*(pdf[c] for c in ("counts", "crop_x0", "crop_y0", "crop_x1", "crop_y1", "height", "width")), strict=True):
+                part = np.repeat(np.arange(len(counts)) % 2 == 1, counts).reshape(x1 - x0, y1 - y0)
+                whole = np.zeros((w, h), bool)
+                whole[x0:x1, y0:y1] = part
+                out.append(run_lengths(whole.reshape(-1)))
+            yield pd.DataFrame({key: pdf[key], "counts": out})
+
+    ints = [F.col(c).cast("int").alias(c) for c in ("crop_x0", "crop_y0", "crop_x1", "crop_y1", "height", "width")]
+    return masks.select(key, F.col("counts").cast("array<long>").alias("counts"), *ints).mapInPandas(run, f"{key} {dict(masks.dtypes)[key]}, counts array<long>")
+
+
+def run_lengths(flat: np.ndarray) -> list[int]:
+    """Run lengths of a row of pixels, the first of pixels that are off."""
+    edge = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1], True]) if len(flat) else np.zeros(1, int)
+    return ([0] if len(flat) and flat[0] else []) + np.diff(edge).tolist()
+
+
+def with_box(masks: DataFrame) -> DataFrame:
+    """Masks whose box (x0, y0, x1, y1, ends included) holds a pixel: empty ones go. area: pixels that are on."""
+    return masks.where((F.col("area") > 0) & (F.col("x1") >= F.col("x0")) & (F.col("y1") >= F.col("y0")))
+
+
+def scaled_coordinates(points: DataFrame, long_side: int = 1024) -> DataFrame:
+    """Adds sx, sy: points (x, y) in an image (height, width) scaled so that its longer side is long_side."""
+    h, w = resized_shape(F.col("height"), F.col("width"), long_side)
+    return points.select("*", (F.col("x") * (w / F.col("width"))).alias("sx"), (F.col("y") * (h / F.col("height"))).alias("sy"))
+
+
+def scaled_boxes(boxes: DataFrame, long_side: int = 1024) -> DataFrame:
+    """Adds sx0, sy0, sx1, sy1: boxes (x0, y0, x1, y1) in the scaled image."""
+    h, w = resized_shape(F.col("height"), F.col("width"), long_side)
+    return boxes.select("*", *((F.col(c) * ((w / F.col("width")) if c[0] == "x" else (h / F.col("height")))).alias(f"s{c}") for c in ("x0", "y0", "x1", "y1")))
+
+
+def position_grid(spark: SparkSession, height: int, width: int) -> DataFrame:
+    """(y, x, py, px): middles of the cells of a grid, as shares of its height and width."""
+    cells = spark.range(height * width).select(F.floor(F.col("id") / width).alias("y"), (F.col("id") % width).alias("x"))
+    return cells.select("y", "x", ((F.col("y") + 0.5) / height).alias("py"), ((F.col("x") + 0.5) / width).alias("px"))
+
+
+def position_encoding(grid: DataFrame, matrix: list[tuple[float, float]]) -> DataFrame:
+    """Adds encoding: sines, then cosines, of 2 pi (2 p - 1) projected by a matrix of (weight of px, weight of py) rows."""
+    turn = lambda a, b: ((2 * F.col("px") - 1) * F.lit(a) + (2 * F.col("py") - 1) * F.lit(b)) * F.lit(2 * np.pi)
+    return grid.select("*", F.array(*(f(turn(a, b)) for f in (F.sin, F.cos) for a, b in matrix)).alias("encoding"))
+
+
 def margin_box(margin: int) -> list[Column]:
     """A box (x0, y0, x1, y1) widened by a margin, inside the image (width, height)."""
     return [F.greatest(F.col("x0") - margin, F.lit(0)).alias("x0"), F.greatest(F.col("y0") - margin, F.lit(0)).alias("y0"), F.least(F.col("x1") + margin, F.col("width")).alias("x1"), F.least(F.col("y1") + margin, F.col("height")).alias("y1")]
@@ -211,30 +276,41 @@ def remove_small_regions(masks: DataFrame, least: int, key: str = "mask_id") ->
                 flat = np.repeat(np.arange(len(counts)) % 2 == 1, counts)
                 mask, a = small_regions_removed(flat.reshape(w, h).T, least, True)
                 mask, b = small_regions_removed(mask, least, False)
-                flat = mask.T.reshape(-1)
-                edge = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1], True])
-                out.append(([0] if flat[0] else []) + np.diff(edge).tolist())
+                out.append(run_lengths(mask.T.reshape(-1)))
                 changed.append(a or b)
             yield pdf[[key, "height", "width"]].assign(counts=out, changed=changed)
 
     return masks.select(key, "height", "width", F.col("counts").cast("array<long>").alias("counts")).mapInPandas(run, f"{key} {dict(masks.dtypes)[key]}, height {dict(masks.dtypes)['height']}, width {dict(masks.dtypes)['width']}, counts array<long>, changed boolean")
 
 
-@F.udf(T.StringType(), useArrow=False)
-def coco_counts(counts: list[int] | None) -> str | None:
-    """COCO's compressed run lengths: differences to the count two before, five bits a character."""
-    if counts is None:
-        return None
-    out = []
-    for i, c in enumerate(counts):
-        x = int(c) - (int(counts[i - 2]) if i > 2 else 0)
-        while True:
-            bits, x = x & 31, x >> 5
-            more = x != (-1 if bits & 16 else 0)
-            out.append(chr(48 + bits + (32 if more else 0)))
-            if not more:
-                break
-    return "".join(out)
+@F.pandas_udf(T.StringType())
+def coco_counts(counts: pd.Series) -> pd.Series:
+    """COCO's compressed run lengths: differences to the count two before, five bits a character, for all masks of a batch at once."""
+    size = np.array([-1 if c is None else len(c) for c in counts])
+    flat = np.concatenate([np.asarray(c, np.int64) for c in counts if c is not None] or [np.zeros(0, np.int64)])
+    owner = np.repeat(np.arange(len(size)), np.maximum(size, 0))
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0), np.maximum(size, 0))
+    x = flat.copy()
+    late = np.flatnonzero(place > 2)
+    x[late] -= flat[late - 2]
+    # one character of every number in a round, as long as a number has bits left
+    at, codes, order = np.arange(len(x)), [], []
+    step = 0
+    while len(at):
+        bits, rest = x[at] & 31, x[at] >> 5
+        more = rest != np.where(bits & 16, -1, 0)
+        codes.append(48 + bits + np.where(more, 32, 0))
+        order.append(at * 16 + step)
+        x[at] = rest
+        at, step = at[more], step + 1
+    if codes:
+        codes, order = np.concatenate(codes), np.concatenate(order)
+        sort = np.argsort(order, kind="stable")
+        text, ends = codes[sort].astype(np.uint8).tobytes().decode(), np.cumsum(np.bincount(owner[order // 16], minlength=len(size)))
+    else:
+        text, ends = "", np.zeros(len(size), np.int64)
+    starts = np.r_[0, ends[:-1]] if len(size) else ends
+    return pd.Series([None if n < 0 else text[a:b] for n, a, b in zip(size.tolist(), starts.tolist(), ends.tolist(), strict=True)], dtype=object)
 
 
 def mask_records(masks: DataFrame) -> DataFrame:
@@ -259,3 +335,79 @@ def all_masks(*tables: DataFrame) -> DataFrame:
     for t in tables[1:]:
         out = out.unionByName(t, allowMissingColumns=True)
     return out
+
+
+def generate_masks(
+    images: DataFrame,
+    propose: Callable[[DataFrame, DataFrame], DataFrame],
+    layers: int = 0,
+    side: int = 32,
+    iou: float = 0.88,
+    stable: float = 0.95,
+    box_threshold: float = 0.7,
+    crop_threshold: float = 0.7,
+    least_region: int = 0,
+    overlap_ratio: float = 512 / 1500,
+    grid_scale: int = 1,
+) -> DataFrame:
+    """Annotation records of all images (image_id, height, width, and what the mask model needs): the whole generator.
+
+    propose takes (images, points), with a point (image_id, crop_id, layer,
+    x0, y0, x1, y1, px, py) in every grid place of every crop, and returns
+    candidate masks (image_id, crop_id, counts in the crop's frame, iou,
+    stability, px, py): an outside model behind `providers.propose_at`. Then
+    quality filters, boxes, crop edges, suppression within a crop and across
+    crops, small regions, and records follow. Images without masks have no
+    rows.
+    """
+    spark = images.sparkSession
+    sizes = images.select("image_id", F.col("height").cast("int").alias("height"), F.col("width").cast("int").alias("width"))
+    crops = crop_boxes(sizes, layers, overlap_ratio).withColumn("crop_id", F.concat_ws("_", "layer", "x0", "y0", "x1", "y1"))
+    points = scaled_points(layer_grids(spark, side, layers, grid_scale), crops).select("image_id", "crop_id", "layer", "x0", "y0", "x1", "y1", "px", "py")
+    found = quality_filter(propose(images, points).withColumnsRenamed({"iou": "predicted_iou", "stability": "stability_score"}), iou, stable)
+    named = found.withColumn("mask_id", F.concat_ws("/", F.col("image_id").cast("string"), "crop_id", F.col("px").cast("string"), F.col("py").cast("string"), F.md5(F.to_json("counts"))))
+    framed = named.join(crops.select("image_id", "crop_id", *(F.col(c).alias(f"crop_{c}") for c in ("x0", "y0", "x1", "y1"))), ["image_id", "crop_id"]).join(sizes, "image_id")
+    boxed = framed.join(boxes_of_runs(framed.select("mask_id", "counts", (F.col("crop_y1") - F.col("crop_y0")).alias("height"))), "mask_id")
+    edge = near_crop_edge(("x0", "y0", "x1", "y1"), ("crop_x0", "crop_y0", "crop_x1", "crop_y1"), ("__0", "__0", "width", "height"))
+    kept = with_box(boxed.withColumn("__0", F.lit(0)).where(~edge).drop("__0"))
+    once = suppress(kept.select(F.concat_ws("|", F.col("image_id").cast("string"), "crop_id").alias("group"), F.col("mask_id").alias("box_id"), "x0", "y0", "x1", "y1", F.col("predicted_iou").alias("score")), box_threshold, "group")
+    kept = kept.join(once.select(F.col("box_id").alias("mask_id")), "mask_id", "left_semi")
+    whole = uncropped_masks(kept.select("mask_id", "counts", "crop_x0", "crop_y0", "crop_x1", "crop_y1", "height", "width"))
+    moved = [(F.col(c) + F.col(f"crop_{c[0]}0")).alias(c) for c in ("x0", "y0", "x1", "y1")]
+    rest = [c for c in kept.columns if c not in ("counts", "x0", "y0", "x1", "y1", "area")]
+    full = kept.select(*rest, *moved).join(whole, "mask_id")
+    if layers:
+        across = crop_suppress(full.select("image_id", F.col("mask_id").alias("box_id"), "x0", "y0", "x1", "y1", "crop_x0", "crop_y0", "crop_x1", "crop_y1"), crop_threshold)
+        full = full.join(across.select(F.col("box_id").alias("mask_id")), "mask_id", "left_semi")
+    if least_region > 0:
+        clean = remove_small_regions(full.select("mask_id", "height", "width", "counts"), least_region).select("mask_id", F.col("counts").alias("clean"), "changed")
+        boxes = boxes_of_runs(clean.join(full.select("mask_id", "height"), "mask_id").select("mask_id", F.col("clean").alias("counts"), "height")).drop("area")
+        again = full.drop("x0", "y0", "x1", "y1", "counts").join(clean, "mask_id").join(boxes, "mask_id").withColumnRenamed("clean", "counts")
+        left = suppress(again.select("image_id", F.col("mask_id").alias("box_id"), "x0", "y0", "x1", "y1", F.when(F.col("changed"), 0.0).otherwise(1.0).alias("score")), max(box_threshold, crop_threshold))
+        full = again.join(left.select(F.col("box_id").alias("mask_id")), "mask_id", "left_semi")
+    records = mask_records(full.withColumns({"point_x": F.col("px") + F.col("crop_x0"), "point_y": F.col("py") + F.col("crop_y0")}))
+    return records.join(full.select("mask_id", "image_id"), "mask_id")
+
+
+def boxes_of_runs(masks: DataFrame) -> DataFrame:
+    """(mask_id, x0, y0, x1, y1, area) from run lengths in column order (mask_id, counts, height), ends included; zeros for an empty mask."""
+
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for counts, h in zip(pdf["counts"], pdf["height"], strict=True):
+                ends = np.cumsum(counts)
+                on = np.arange(len(counts)) % 2 == 1
+                first, last = (ends - counts)[on], ends[on] - 1
+                first, last = first[last >= first], last[last >= first]
+                if not len(first):
+                    out.append((0, 0, 0, 0, 0))
+                    continue
+                over = first // h != last // h  # a run over a column's end holds its last and the next one's first pixel
+                y0 = 0 if over.any() else int((first % h).min())
+                y1 = h - 1 if over.any() else int((last % h).max())
+                out.append((int(first.min() // h), y0, int(last.max() // h), y1, int((last - first + 1).sum())))
+            yield pd.DataFrame(out, columns=["x0", "y0", "x1", "y1", "area"]).assign(mask_id=pdf["mask_id"].to_numpy())[["mask_id", "x0", "y0", "x1", "y1", "area"]]
+
+    rows = masks.select("mask_id", F.col("counts").cast("array<long>").alias("counts"), F.col("height").cast("int").alias("height"))
+    return rows.mapInPandas(run, f"mask_id {dict(masks.dtypes)['mask_id']}, x0 int, y0 int, x1 int, y1 int, area long")

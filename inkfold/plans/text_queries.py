@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfold.functions.strings import TOKEN_STOPWORDS, jaccard, ngram_set, plain_tokens, token_rows, token_windows
+from inkfold.functions.strings import TOKEN_STOPWORDS, jaccard, ngram_set, plain_tokens, shard_of, token_rows, token_windows
 from inkfold.functions.vectors import doubles
 from inkfold.operators import dedup, scoring, vectors, vocab
 from inkfold.operators.storage import stored
@@ -261,3 +261,62 @@ def event_windows(spark, sf_dir):
 
 def unit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.normalized(table(spark, sf_dir, "embeddings").select("vec_id", doubles(F.col("embedding")).alias("embedding")))
+
+
+# ------------------------------------------------------------- tagged words
+
+TAGS = ("NNG", "JKS", "VV", "EF", "VA", "NNP", "SF", "XR", "MAG", "NP")
+TAGGED_SQL = f"tagged AS (SELECT conv_id, word, {list(TAGS)}[('0x' || md5(word)[1:8])::BIGINT % 10 + 1] AS tag FROM words)"
+
+
+def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, word, tag): words with tags that follow from their digest, in place of a tagger."""
+    at = shard_of(F.md5(F.col("word").cast("binary")), 10)
+    return words_of(turns(spark, sf_dir)).withColumn("tag", F.get(F.array(*map(F.lit, TAGS)), at))
+
+
+@query(f"WITH {TURNS_SQL}, {WORDS_SQL}, {TAGGED_SQL} SELECT word, tag, count(*) AS n FROM tagged WHERE length(word) > 1 AND tag NOT IN ('JKS', 'EF', 'SF') AND word NOT IN ('the', 'of') GROUP BY ALL")
+def morph_filter(spark, sf_dir):
+    stop = spark.createDataFrame([("the",), ("of",), ("of",)], "word string")
+    return vocab.filter_morphs(tagged(spark, sf_dir), stop).groupBy("word", "tag").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {TURNS_SQL}, {WORDS_SQL}, {TAGGED_SQL} SELECT word, count(*) AS n FROM tagged WHERE tag IN ('NNG', 'NNP', 'VV', 'VA') GROUP BY ALL")
+def morph_meaning_words(spark, sf_dir):
+    return vocab.meaning_words(tagged(spark, sf_dir)).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {TURNS_SQL}, {WORDS_SQL}, {TAGGED_SQL} SELECT lower(word) AS word, count(*) AS n FROM tagged WHERE tag IN ('NNG', 'NNP', 'VA', 'VV', 'XR') AND word NOT IN ('and', 'The') GROUP BY ALL")
+def morph_corpus_words(spark, sf_dir):
+    return vocab.corpus_words(tagged(spark, sf_dir), ("and", "The")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {TURNS_SQL}, {WORDS_SQL}, {TAGGED_SQL} SELECT DISTINCT conv_id, word FROM tagged WHERE tag IN ('NNG', 'NNP', 'NP', 'VA')")
+def category_words(spark, sf_dir):
+    return vocab.category_words(tagged(spark, sf_dir)).select("conv_id", "word").distinct()
+
+
+# ------------------------------------------------------------ string functions
+
+
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[^가-힣\\s\\x0B\\x1C-\\x1F]', ' ', 'g'), '[\\s\\x0B\\x1C-\\x1F]+', ' ', 'g')) AS text FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, '가 나' FROM documents WHERE doc_id % 2 = 1")
+def hangul_text(spark, sf_dir):
+    from inkfold.functions.strings import hangul_only
+
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise("가,  나!").alias("text"))
+    return rows.select("doc_id", hangul_only(F.col("text")).alias("text"))
+
+
+@query(f"WITH {CLEAN_SQL} SELECT doc_id, md5(text) AS digest FROM clean")
+def normalized_text(spark, sf_dir):
+    from inkfold.functions.strings import normalized
+
+    return raw_lines(spark, sf_dir).select(F.col("line_no").alias("doc_id"), F.md5(normalized(F.col("text")).cast("binary")).alias("digest"))
+
+
+@query("SELECT doc_id, md5(trim(replace(text, chr(10), ' '))) AS digest, 'a/b/' || doc_id AS path FROM documents")
+def escaped_text(spark, sf_dir):
+    from inkfold.functions.strings import forward_slashes, json_escaped_newlines
+
+    path = F.concat(F.lit("a\\b\\"), F.col("line_no").cast("string"))
+    return raw_lines(spark, sf_dir).select(F.col("line_no").alias("doc_id"), F.md5(json_escaped_newlines(F.col("text")).cast("binary")).alias("digest"), forward_slashes(path).alias("path"))

@@ -181,3 +181,29 @@ def category_lookup_fallback(spark, sf_dir):
     embedded = words.select("word").distinct().withColumn("vec_id", place).join(points, "vec_id").select("word", "embedding")
     names = spark.createDataFrame([(1, "one")], "super_id int, name string")
     return taxonomy.predict_categories(words, taxonomy.keyword_categories(categories(spark)), embedded, centers(spark, sf_dir), super_map(spark, sf_dir), names)
+
+
+LINED_SQL = "lc AS (SELECT DISTINCT vec_id // 10 AS line_no, label AS c FROM embeddings)"
+
+
+@query(f"WITH {LINED_SQL} SELECT a.c AS a, b.c AS b, count(*) AS n FROM lc a JOIN lc b ON a.line_no = b.line_no AND a.c < b.c GROUP BY ALL")
+def cluster_cooccurrence(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 10).alias("line_no"), F.col("label").alias("cluster_id"))
+    return vectors.cooccurrence(rows)
+
+
+CATEGORY_SQL = "kw AS (SELECT vec_id % 3 AS place, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 30), km AS (SELECT place, list(x ORDER BY i) AS m FROM (SELECT place, i, avg(e[i]) AS x FROM kw, range(1, 65) t(i) GROUP BY place, i) GROUP BY place)"
+
+
+@query(f"WITH {CENTERS_SQL}, {CATEGORY_SQL}, s AS (SELECT cluster_id, place, {COS_SQL.format(a='c', b='m')} AS w FROM centers, km) SELECT cluster_id, 'k' || place AS category, round(w, 6) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY w DESC, place) = 1")
+def category_of_centroids(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").where("vec_id < 30")  # the keywords of the categories
+    embedded = rows.select(F.concat(F.lit("w"), F.col("vec_id").cast("string")).alias("word"), "embedding")
+    lists = [(p, f"k{p}", [f"w{v}" for v in range(30) if v % 3 == p]) for p in range(3)]
+    given = spark.createDataFrame(lists, "place int, category string, keywords array<string>")
+    return rounded(taxonomy.category_of_centroids(given, embedded, centers(spark, sf_dir)), "similarity")
+
+
+@query("SELECT k::INT AS k, c::INT AS candidate FROM (SELECT k, unnest(list_distinct([k] || list_transform([0.8, 0.9, 1.1, 1.2], lambda r: greatest(2, floor(k * r)::INT)))) AS c FROM range(1, 120, 7) t(k))")
+def k_candidates(spark, sf_dir):
+    return spark.createDataFrame([(k, c) for k in range(1, 120, 7) for c in clustering.k_candidates(k)], "k int, candidate int")

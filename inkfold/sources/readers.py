@@ -9,7 +9,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from inkfold.functions.images import decode_png
 from inkfold.functions.strings import collapsed
 from inkfold.operators.lexicon import LEXICON_SCHEMA
 from inkfold.operators.taxonomy import parse_super_map
@@ -21,18 +23,18 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, text) of one text corpus in file order, blank lines kept in the count and then dropped.
+    """(line_no, text) of one text corpus in the order of file names and lines, blank lines kept in the count and then dropped.
 
     Each file is cut into blocks by Spark; lines are counted in each block
-    and numbered from the sums before it, so the text is never in one task.
+    and numbered from the sums before it, files by name and blocks by place,
+    so the text is never in one task.
     """
-    lines = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
-    block = F.shiftright("at", 33)
-    counts = lines.groupBy(block.alias("block")).agg(F.count("*").alias("n"))
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    numbered = lines.withColumn("block", block).join(starts, "block")
-    return numbered.select((F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("line_no"), F.trim("value").alias("text")).where("text <> ''")
+    return read_all_lines(spark, path).select("line_no", F.trim("value").alias("text")).where("text <> ''")
+
+
+def read_street_names(spark: SparkSession, path: str) -> DataFrame:
+    """(name) of a street list, one a line, trimmed, blank lines left out."""
+    return read_lines(spark, path).withColumnRenamed("text", "name")
 
 
 def read_captions(spark: SparkSession, path: str) -> DataFrame:
@@ -46,9 +48,9 @@ def read_captions(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.trim(F.replace(F.coalesce(*names), F.lit("\n"), F.lit(" "))).alias("caption")).where("caption <> ''")
 
 
-def read_caption_folder(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_caption_folder(spark: SparkSession, path: str, names: str = "*.json") -> tuple[DataFrame, DataFrame]:
     """((caption), (bad_files)) of all JSON files under a folder; files that are no JSON are counted, a byte-order mark is skipped."""
-    whole = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(path)
+    whole = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(path)
     text = F.regexp_replace(F.col("content").cast("string"), "^﻿", "")
     ann = "struct<caption_ko:string,caption:string>"
     parsed = whole.select(F.from_json(text, f"struct<annotations:array<{ann}>,caption_ko:string,caption:string>").alias("o"), F.from_json(text, f"array<{ann}>").alias("l"), F.try_parse_json(text).isNull().alias("bad"))
@@ -126,6 +128,33 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LEXICON_SCHEMA).option("pathGlobFilter", "*.csv").csv(path, quote='"', escape='"').withColumn("file_name", F.element_at(F.split(F.input_file_name(), "/"), -1))
 
 
+def read_import_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of an import file up to its first empty line: thirteen columns, or fourteen with a class.
+
+    (surface, pos, read, semantic_class, type, start_pos, end_pos,
+    expression, class_name, is_available, is_inspected); a missing class is
+    null. Rows are numbered as lines, so quoted fields may not hold line
+    feeds.
+    """
+    lines = read_all_lines(spark, path)
+    end = lines.where("trim(value) = ''").agg(F.min("line_no").alias("end"))
+    kept = lines.join(F.broadcast(end)).where("end is null or line_no < end")  # one row
+    names = ", ".join(f"c{k} string" for k in range(14))
+    row = F.from_csv("value", F.lit(names), {"quote": '"', "escape": '"'})
+    parts = kept.select("line_no", row.alias("r"))
+    picked = dict(surface=0, pos=4, read=7, semantic_class=5, type=8, start_pos=9, end_pos=10, expression=12, class_name=13)
+    return parts.select("line_no", *(F.col(f"r.c{k}").alias(n) for n, k in picked.items()), F.lit(1).alias("is_available"), F.lit(1).alias("is_inspected"))
+
+
+def read_all_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, value) of all lines of a file, blank ones too."""
+    whole = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    counts = whole.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return whole.join(starts, ["file", "block"]).select((F.col("start") + F.col("at") - F.col("first")).alias("line_no"), "value")
+
+
 def read_config_rows(spark: SparkSession, path: str, columns: list[str], sep: str = ",") -> DataFrame:
     """Delimited rows of a settings file, comments and blank lines left out; missing fields are null."""
     lines = read_lines(spark, path).where(~F.col("text").startswith("#"))
@@ -139,10 +168,31 @@ def read_table(spark: SparkSession, url: str, table: str, **options: str) -> Dat
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content) of image files."""
+    """(path, content) of image files, readable or not."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.{png,jpg,jpeg,PNG,JPG,JPEG}").option("recursiveFileLookup", True).load(path).select("path", "content")
 
 
+def readable_images(images: DataFrame) -> DataFrame:
+    """The PNG images that can be read, with their height and width; any others go."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            shapes = [None if (m := decode_png(raw)) is None else m.shape for raw in pdf["content"]]
+            good = np.array([x is not None for x in shapes], bool)
+            yield pdf[good].assign(height=[x[0] for x in shapes if x], width=[x[1] for x in shapes if x])
+
+    return images.mapInPandas(run, T.StructType([*images.schema.fields, T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType())]))
+
+
+def first_present(spark: SparkSession, paths: list[str], default: str | None = None) -> str:
+    """The first path that exists; else the default, or an error that names all that were tried."""
+    found = {r["path"] for r in present(spark, {p: p for p in paths}).where("exists").collect()}
+    hit = next((p for p in paths if p in found), default)
+    if hit is None:
+        raise FileNotFoundError("none of these exists: " + ", ".join(paths))
+    return hit
+
+
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
     """(chat_id, prompt_idx, text) from JSON-lines requests {chatId, promptContents}; blank prompts go."""
     rows = spark.read.schema("chatId string, promptContents array<string>").json(path)

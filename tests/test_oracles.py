@@ -1,6 +1,7 @@
 """Every query with SQL gives DuckDB's rows on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -20,7 +21,7 @@ def duck():
 
 def canonical(frame, columns):
     def show(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return ""
         return f"{v:.6g}" if isinstance(v, float) else str(v)
 

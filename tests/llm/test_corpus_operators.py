@@ -464,12 +464,18 @@ def test_language_model(spark):
     assert len(small) == len(rows) and all(r["score"] < 0 for r in small)
 
 
-def test_scores_do_not_depend_on_the_gram_limit(spark):
+def test_scores_are_the_tree_s_whatever_the_limits(spark):
     rng = random.Random(4)
     vocab = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 7))) for _ in range(80)]
-    rows = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randint(0, 40)))) for i in range(80)] + [(200, None), (201, ""), (None, "abc"), (None, "abc")]
-    scores = [Counter((r["doc_id"], round(r["score"], 4), round(r["bits_per_byte"], 4)) for r in language_model.score_documents(table(spark, rows), most_grams=m).collect()) for m in (2_000_000, 700)]
-    assert scores[0] == scores[1]
+    rows = [(i, rng.choice([" ", "\n", "  "]).join(rng.choice(vocab) for _ in range(rng.randint(0, 40)))) for i in range(80)] + [(200, None), (201, ""), (None, "abc"), (None, "abc"), (300, "Zq " * 50_000)]
+    held = {i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in rows}
+    codes = [context_tree.gram_codes(np.frombuffer(b"\xff" * 3 + (t or "").encode().translate(language_model.LOWER) + b"\xff", np.uint8), 3) for _, t in rows]
+    grams, n = np.unique(np.concatenate([c for c, (i, _) in zip(codes, rows, strict=True) if not held[i]]), return_counts=True)
+    tree = context_tree.Tree(grams, n, 3)
+    want = Counter((i, round(tree.log2(c).sum() * math.log10(2), 3), round(-tree.log2(c).mean(), 4)) for c, (i, _) in zip(codes, rows, strict=True))
+    for limits in ({}, {"most_grams": 100}, {"block_grams": 50}, {"most_grams": 1, "block_grams": 5}):
+        got = language_model.score_documents(table(spark, rows), depth=3, **limits).collect()
+        assert Counter((r["doc_id"], round(r["score"], 3), round(r["bits_per_byte"], 4)) for r in got) == want
 
 
 def test_id_bitmap_never_misses(spark):

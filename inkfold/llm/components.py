@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.llm.common import stored
+from inkfold.llm.common import dropped, stored
 
 #: Edges that a task holds at a time when it thins them.
 RUN = 250_000
@@ -56,6 +56,7 @@ def _thinned(edges: DataFrame) -> DataFrame:
     while n:
         less = stored(edges.repartition(-(-n // RUN)).mapInArrow(_forests, edges.schema).distinct())
         after = less.count()
+        dropped(edges)
         if after > 0.5 * n:
             return less
         edges, n = less, after
@@ -70,7 +71,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     each a bounded run of them; then large-star and small-star
     steps alternate until the edge set is stable (a number of rounds that is
     logarithmic in the size of a component); each round is written to the
-    shared folder. Hubs: the least neighbour is a partial aggregate, and the
+    shared folder, and the one before is deleted. Hubs: the least neighbour is a partial aggregate, and the
     join back is an ordinary equi-join, whose skewed partitions AQE splits.
     """
     now = stored(
@@ -87,8 +88,9 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.select("a", F.col("m").alias("b")).union(joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        now = stored(small.distinct())
+        before, now = now, stored(small.distinct())
         after = _state(now)
+        dropped(before)
         if after == state:
             break
         state = after

@@ -24,11 +24,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh3_128_hexdigest
 
-from inkfold.llm.common import id_text, map_texts
+from inkfold.llm.common import id_text, map_texts, resident
 
 #: Words that a worker keeps encoded; beyond, the table starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 #: Marks the end of a word inside the matcher; no word holds a line feed.
 END = "\n"
 NEVER = np.int64(1 << 40)
@@ -276,16 +277,9 @@ class Bpe:
         return " ".join(self.token_text[i] for i in ids.tolist() if i in self.token_text)
 
 
-_LOADED: dict[int, Bpe] = {}
-
-
 def loaded(spec: str) -> Bpe:
     """One instance a worker."""
-    key = hash(spec)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Bpe(spec)
-    return _LOADED[key]
+    return resident("bpe " + xxh3_128_hexdigest(spec), lambda: Bpe(spec))
 
 
 def default_path() -> str:
@@ -316,7 +310,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
     else:
         docs, text_col = id_text(docs, id_col, text_col), "text"
     fields = [T.StructField("ids", T.BinaryType()), *[T.StructField("decoded", T.BinaryType())] * decoded]
-    return map_texts(docs, run, fields, text_col, piece=1000, piece_bytes=4_000_000)
+    return map_texts(docs, run, fields, text_col, piece=1000, piece_bytes=2_000_000)
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None, ids_col: str = "ids") -> DataFrame:

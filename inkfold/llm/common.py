@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -20,9 +23,28 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
+#: Bytes of rows that travel to a Python worker at a time, one row at least.
+BATCH_BYTES = 8_000_000
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     """A table of the input folder."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    small_batches(spark)
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the batches that go to Python workers by bytes, in this session: ten thousand rows of long texts would fill memory on both sides."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", spark.conf.get(key)) or 0) != BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def spread(df: DataFrame, most_bytes: int = 64_000_000) -> DataFrame:
+    """A small table in fewer files than there are cores is dealt to all cores; any other stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most_bytes
+    return df.repartition(cores) if small and len(df.inputFiles()) < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,6 +69,35 @@ def stored(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_RESIDENT: dict[str, object] = {}
+
+
+def resident(name: str, make: Callable[[], object]) -> object:
+    """What a worker keeps between tasks: one object, made anew when another one is asked for. Workers serve many stages; only the last one's tables stay in memory."""
+    if name not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[name] = make()
+    return _RESIDENT[name]
+
+
+def released() -> None:
+    """Gives freed memory back to the system: a worker that has done with a task waits for others with what it kept."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        return  # another C library
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes a table of `stored` that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only (id, text), under fixed names, so that clashing extra columns cannot interfere."""
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -82,7 +133,7 @@ def map_texts(
     fields: list[T.StructField],
     text_col: str = "text",
     piece: int = 2000,
-    piece_bytes: int = 16_000_000,
+    piece_bytes: int = 4_000_000,
 ) -> DataFrame:
     """Adds columns computed from whole texts, batch by batch, through Arrow.
 
@@ -92,6 +143,7 @@ def map_texts(
     The text column itself is not returned. Columns named like a new field
     are replaced by it.
     """
+    small_batches(docs.sparkSession)
     fresh = {f.name.lower() for f in fields}
     docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c == text_col or c.lower() not in fresh))
     keep = [f for f in docs.schema.fields if f.name != text_col]
@@ -107,7 +159,10 @@ def map_texts(
                 made = fn(texts)
                 kept = [batch.column(i) for i in range(batch.num_columns) if i != at]
                 arrays = [*kept, *(pa.array(made[n], k) for n, k in zip(names, kinds, strict=True))]
+                del texts, made
                 yield pa.RecordBatch.from_arrays(arrays, names=[*(f.name for f in keep), *names])
+                del batch, column, kept, arrays
+        released()
 
     return docs.mapInArrow(run, schema)
 

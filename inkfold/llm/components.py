@@ -12,6 +12,8 @@ from inkfold.llm.common import dropped, stored
 
 #: Edges that a task holds at a time when it thins them.
 RUN = 250_000
+#: Edges that make a node a hub, and hubs that travel to the edges.
+HUB, MOST_HUBS = 1000, 20_000
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -63,6 +65,24 @@ def _thinned(edges: DataFrame) -> DataFrame:
     return edges
 
 
+def _with_least(edges: DataFrame) -> DataFrame:
+    """(a, b, m): every edge with the least neighbour of its first end.
+
+    Hubs, the nodes with over HUB edges, are at most a HUB-th of the edges;
+    while they are few, their least neighbours travel to the edges, so that
+    no task holds all edges of a hub.
+    """
+    least = stored(edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+    hubs = least.where(F.col("n") > HUB).select("a", "m")
+    few = hubs.limit(MOST_HUBS + 1).count()
+    rest = least.select("a", "m")
+    if not 0 < few <= MOST_HUBS:
+        return edges.join(rest, "a")
+    hubs = F.broadcast(hubs)  # a counted side
+    plain = edges.join(hubs.select("a"), "a", "left_anti").join(rest, "a")
+    return edges.join(hubs, "a").select("a", "b", "m").unionAll(plain.select("a", "b", "m"))
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Labels (node, root) for every node on an edge; root is the smallest node of its component.
 
@@ -71,8 +91,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     each a bounded run of them; then large-star and small-star
     steps alternate until the edge set is stable (a number of rounds that is
     logarithmic in the size of a component); each round is written to the
-    shared folder, and the one before is deleted. Hubs: the least neighbour is a partial aggregate, and the
-    join back is an ordinary equi-join, whose skewed partitions AQE splits.
+    shared folder, and the one before is deleted. The least neighbour is a
+    partial aggregate, and hubs meet theirs without a shuffle.
     """
     now = stored(
         edges.where("a is not null and b is not null and a <> b")
@@ -83,10 +103,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     state = _state(now)
     for _ in range(rounds if state[0] else 0):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
+        large = stored(_with_least(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct())
+        joined = _with_least(large)
         small = joined.select("a", F.col("m").alias("b")).union(joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
         before, now = now, stored(small.distinct())
         after = _state(now)

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 from xxhash import xxh64_digest
 
-from inkfold.llm.common import slices, stored, with_maybe
+from inkfold.llm.common import released, resident, slices, stored, with_maybe
 
 #: A-Z to a-z; ASCII characters other than letters and digits to spaces; other bytes stay.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -225,15 +225,9 @@ class Rule:
         return covered >= self.coverage * tokens or longest >= self.passage
 
 
-_READY: dict[str, Benchmark] = {}
-
-
 def _ready(shared, seed: int) -> Benchmark:
     name, items = shared.value
-    if name not in _READY:
-        _READY.clear()
-        _READY[name] = Benchmark(items, seed)
-    return _READY[name]
+    return resident(name, lambda: Benchmark(items, seed))
 
 
 def _small(benchmark: DataFrame, block_bytes: int):
@@ -427,6 +421,7 @@ def _clean(shared, at: int, rule: Rule):
             for batch in slices(whole, at, 1000, 4_000_000):
                 found = {f[0] for f in bench.compare(batch.column(at).cast(pa.large_binary()).to_pylist()) if rule.holds(*f[2:])}
                 yield batch if not found else batch.take(pa.array([i for i in range(batch.num_rows) if i not in found], pa.int64()))
+        released()
 
     return run
 

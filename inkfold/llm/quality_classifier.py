@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from inkfold.llm.common import id_remainder, map_texts, slices, stored
+from inkfold.llm.common import id_remainder, map_texts, released, resident, slices, stored
 
 #: Dimensions of index vectors; +1 and -1 entries of one.
 DIM, NONZERO = 96, 6
@@ -81,7 +81,7 @@ class Vectors:
             r = new.get(t)
             if r is None:
                 r = get(shape_of(t), self.ids["\x02symbols"])
-                if len(new) < 200_000:
+                if len(new) < 100_000:
                     new[t] = r
             rows[i] = r
         again = sum(map(eq, plain, plain[1:]))
@@ -237,9 +237,6 @@ def learn_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     return vectors, net
 
 
-_NEW: dict[str, dict[str, int]] = {}
-
-
 def classify_documents(docs: DataFrame, model: tuple[Vectors, Network] | None, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """Each row without its text column, with score (0 to 1) and predicted (1 if score >= threshold), in place of columns of these names.
 
@@ -253,11 +250,8 @@ def classify_documents(docs: DataFrame, model: tuple[Vectors, Network] | None, t
         name, model = shared.value
         if model is None:
             return {"score": [0.5] * len(texts)}
-        if name not in _NEW:
-            _NEW.clear()
-            _NEW[name] = {}
-        vectors, net = model
-        return {"score": net.scores(vectors.pool([vectors.rows(t, _NEW[name]) for t in texts]).astype(np.float64)).tolist()}
+        (vectors, net), new = model, resident(name, dict)
+        return {"score": net.scores(vectors.pool([vectors.rows(t, new) for t in texts]).astype(np.float64)).tolist()}
 
     docs = docs.select(*(c for c in docs.columns if c == text_col or c.lower() != "predicted"))
     made = map_texts(docs, run, [T.StructField("score", T.DoubleType())], text_col)
@@ -273,14 +267,14 @@ def keep_good(docs: DataFrame, model: tuple[Vectors, Network] | None, text_col:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, (vectors, net) = shared.value
-        if name not in _NEW:
-            _NEW.clear()
-            _NEW[name] = {}
+        new = resident(name, dict)
         for whole in batches:
-            for batch in slices(whole, at, 2000, 16_000_000):
+            for batch in slices(whole, at, 2000, 4_000_000):
                 texts = batch.column(at).cast(pa.large_binary()).to_pylist()
-                good = net.scores(vectors.pool([vectors.rows(t, _NEW[name]) for t in texts]).astype(np.float64)) >= threshold
+                good = net.scores(vectors.pool([vectors.rows(t, new) for t in texts]).astype(np.float64)) >= threshold
+                del texts
                 yield batch.filter(pa.array(good))
+        released()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -20,6 +20,7 @@ import math
 import random
 import re
 import string
+import uuid
 from bisect import bisect_left
 from itertools import accumulate
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkfold.llm.common import LOWER, id_text, map_texts
+from inkfold.llm.common import LOWER, id_text, map_texts, resident
 
 #: Fixed patterns, in the order of their kinds.
 KINDS = ("assign", "access", "hex", "crf")
@@ -69,6 +70,8 @@ def base_spans(text: bytes) -> list[tuple[str, int, int]]:
 
 def _shape(token: bytes) -> str:
     """Runs of character classes, at most nine of them."""
+    if token.isalpha() and token.islower():
+        return "a"
     out = []
     for m in RUNS.finditer(token):
         c = token[m.start()]
@@ -78,17 +81,26 @@ def _shape(token: bytes) -> str:
     return "".join(out)
 
 
+@functools.cache
+def plain_features(n: int, entropy: int, longest: int) -> list[str]:
+    """Features of a token of small letters only."""
+    return [f"n{n // 4}", "sa", f"e{entropy}", "d0", "h0", "l0", "u0", "dots0", "dash0", "t0", f"t0n{n // 8}", f"c{longest}"]
+
+
 def _own(token: bytes, shape: str) -> list[str]:
     """Features of a token by itself; the first two are its length and shape."""
-    n = len(token)
-    each = [token.count(c) for c in set(token)]
-    entropy = math.log2(n) - sum(c * math.log2(c) for c in each) / n
-    digits = len(token) - len(token.translate(None, b"0123456789"))
+    n, kinds = len(token), set(token)
+    entropy = math.log2(n)
+    if len(kinds) < n:
+        entropy -= sum(c * math.log2(c) for c in map(token.count, kinds)) / n
+    digits = 0 if token.isalpha() else n - len(token.translate(None, b"0123456789"))
     low = token.translate(LOWER)
     upper = token != low
     mixed = upper and token.upper() != token
     turns = len(CASE_TURNS.findall(token)) if mixed else 0
     longest = max(map(len, CONSONANTS.findall(low)), default=0) if n >= 8 else 0
+    if not upper and n > 1 and token.isalpha():
+        return plain_features(min(n, 48), int(entropy * 2), min(longest, 12) // 2)
     out = [
         f"n{min(n, 48) // 4}",
         f"s{shape if len(shape) <= 4 else 'mix' + str(len(shape))}",
@@ -108,7 +120,7 @@ def _own(token: bytes, shape: str) -> list[str]:
 
 def _near(token: bytes, shape: str) -> str:
     """How a neighbour is seen."""
-    if m := KEYWORD.search(token.translate(LOWER)):
+    if len(token) > 2 and (m := KEYWORD.search(token.translate(LOWER))):
         return "K" + m[0].decode()
     return token.decode("latin-1") if len(token) == 1 else shape[:3]
 
@@ -149,7 +161,7 @@ def file_features(text: bytes) -> list[str]:
 class Field:
     """Whole-number weights of a linear-chain conditional random field with three tags, and the scores of tokens met before."""
 
-    def __init__(self, emit: dict[str, np.ndarray], move: np.ndarray, kept: int = 300_000, kept_bytes: int = 48_000_000):
+    def __init__(self, emit: dict[str, np.ndarray], move: np.ndarray, kept: int = 250_000, kept_bytes: int = 32_000_000):
         self.emit, self.move, self.kept, self.kept_bytes = emit, move, kept, kept_bytes
         # the ways a neighbour can be seen that carry weight
         names = sorted({f.split("p", 1)[1] if f[0] == "g" else f[1:] for f in emit if f[0] in "pqr" or f[0] == "g" and "p" in f} | {"^"})
@@ -503,12 +515,14 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans; null ids and repeated rows stay; an empty table stays empty.
     Memory grows with the longest text, of which every token is tagged.
     """
-    field = trained()
+    shared = docs.sparkSession.sparkContext.broadcast(("field " + uuid.uuid4().hex, trained()))
 
     def run(texts: list[bytes | None]) -> dict[str, list]:
+        name, field = shared.value
+        field = resident(name, lambda: field)
         return {"spans": [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in found] for found in find_spans(field, texts)]}
 
-    return map_texts(id_text(docs, id_col, text_col), run, [T.StructField("spans", SPAN)], piece_bytes=4_000_000)
+    return map_texts(id_text(docs, id_col, text_col), run, [T.StructField("spans", SPAN)], piece_bytes=1_000_000)
 
 
 def redacted(text: str, spans: list[tuple[str, int, int]], mark: str = "[secret]") -> str:
@@ -523,12 +537,14 @@ def redacted(text: str, spans: list[tuple[str, int, int]], mark: str = "[secret]
 
 def redact_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Each row with its secrets replaced in text_col; other columns stay. A null text stays null, an empty table empty."""
-    field = trained()
+    shared = docs.sparkSession.sparkContext.broadcast(("field " + uuid.uuid4().hex, trained()))
 
     def run(texts: list[bytes | None]) -> dict[str, list]:
+        name, field = shared.value
+        field = resident(name, lambda: field)
         return {"__clean": [None if t is None else redacted(t.decode(), spans) if spans else t.decode() for t, spans in zip(texts, find_spans(field, texts), strict=True)]}
 
-    made = map_texts(docs.withColumn("__scan", F.col(text_col)).drop(text_col), run, [T.StructField("__clean", T.StringType())], "__scan", piece_bytes=4_000_000)
+    made = map_texts(docs.withColumn("__scan", F.col(text_col)).drop(text_col), run, [T.StructField("__clean", T.StringType())], "__scan", piece_bytes=1_000_000)
     return made.select(*(F.col("__clean").alias(c) if c == text_col else F.col(c) for c in docs.columns))
 
 

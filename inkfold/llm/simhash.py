@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_digest
 
-from inkfold.llm.common import LOWER, map_texts, stored, with_maybe
+from inkfold.llm.common import LOWER, map_texts, released, resident, stored, with_maybe
 from inkfold.llm.components import connected_components
 
 #: Shingles hashed at a time: bounds memory for very long texts.
@@ -83,6 +83,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, columns in extra, fp binary) for every row; null ids and repeated rows stay."""
 
     def run(texts: list[bytes | None]) -> dict[str, list]:
+        resident("shingles", dict)
         known: dict[bytes | None, bytes] = {}
         out = []
         for t in texts:
@@ -130,6 +131,7 @@ def set_prints(docs: DataFrame, id_col: str, text_col: str, words: int, similari
     """(doc_id, columns in extra, fp binary, prefix array<long>) for every row: set_print and short_prefix of its shingle set."""
 
     def run(texts: list[bytes | None]) -> dict[str, list]:
+        resident("shingles", dict)
         known: dict[bytes | None, tuple[bytes, list[int]]] = {}
         out = []
         for t in texts:
@@ -413,6 +415,8 @@ def _to_links(radius: int, width: int | None):
             held.append(batch.slice(cut))
         if held:
             yield from emit(held)
+        del held
+        released()
 
     return run
 
@@ -457,7 +461,7 @@ def _hot_buckets(rows: DataFrame, total: int, chunk: int) -> DataFrame:
     full = stored(binned.groupBy("bin").count().where(F.col("count") > chunk).select("bin"))
     n_full = full.count()
     if not n_full:
-        return rows.sparkSession.createDataFrame([], "bucket long, parts int")
+        return rows.sparkSession.range(0).selectExpr("id as bucket", "cast(id as int) as parts")
     side = F.broadcast(full) if n_full <= 10_000 else full  # a counted side
     counts = binned.join(side, "bin", "left_semi").groupBy("bucket").count().where(F.col("count") > chunk)
     return stored(counts.select("bucket", F.ceil(F.col("count") / chunk).cast("int").alias("parts")))
@@ -565,6 +569,8 @@ def _to_verified(similarity: float):
                     fps.append(f)
                     grams.append(g)
         yield from emit(fps, grams) if len(fps) > 1 else ()
+        del fps, grams
+        released()
 
     return run
 

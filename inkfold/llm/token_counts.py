@@ -69,14 +69,23 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
 
 
 def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
-    """(context_limit, docs_over, truncated_total) for any limits, from the rows of `suffix_sums`. No documents: zeros."""
+    """(context_limit, docs_over, truncated_total) for each distinct limit, from the rows of `suffix_sums`. No documents: zeros.
+
+    Each length meets only the least limit that is not below it; the sums at
+    a limit are the largest of all limits up to it.
+    """
     spark = sums.sparkSession
-    asked = spark.createDataFrame([(int(x),) for x in limits], "context_limit long")
-    hit = F.broadcast(asked).join(sums.select(F.col("context_limit").alias("length"), "docs_le", "docs_over", "tokens_le", "n_docs"), F.expr("length <= context_limit"), "left")
+    asked = sorted({int(x) for x in limits})
+    place = F.size(F.filter(F.array(*(F.lit(x).cast("long") for x in asked)), lambda x: x < F.col("context_limit")))
+    met = sums.groupBy(place.alias("k")).agg(F.max("docs_le").alias("le"), F.max("tokens_le").alias("tokens"))
+    # one row for each limit
+    upto = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    rows = spark.createDataFrame(list(enumerate(asked)), "k int, context_limit long").join(met, "k", "left")
+    top = rows.select("context_limit", F.coalesce(F.max("le").over(upto), F.lit(0)).alias("le"), F.coalesce(F.max("tokens").over(upto), F.lit(0)).alias("tokens"))
     total = sums.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("docs_total"))
-    top = hit.groupBy("context_limit").agg(F.coalesce(F.max("docs_le"), F.lit(0)).alias("le"), F.coalesce(F.max("tokens_le"), F.lit(0)).alias("tokens"))
     over = F.col("docs_total") - F.col("le")
-    return top.crossJoin(F.broadcast(total)).select("context_limit", over.alias("docs_over"), (F.col("tokens") + F.col("context_limit") * over).alias("truncated_total"))
+    # one row
+    return top.join(F.broadcast(total)).select("context_limit", over.alias("docs_over"), (F.col("tokens") + F.col("context_limit") * over).alias("truncated_total"))
 
 
 def quantile(sums: DataFrame, q: float) -> DataFrame:

@@ -119,8 +119,10 @@ def test_hot_buckets_are_cut_without_losing_links(spark):
 
 
 @pytest.mark.parametrize("edges", [[], [(1, 1)], [(i, i + 1) for i in range(60)], [(0, i) for i in range(1, 80)] + [(100, 101), (101, 100), (None, 3)]])
-def test_components(spark, edges, monkeypatch):
+@pytest.mark.parametrize("hub", [3, 1000])
+def test_components(spark, edges, hub, monkeypatch):
     monkeypatch.setattr(components, "RUN", 16)
+    monkeypatch.setattr(components, "HUB", hub)
     got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     real = [(a, b) for a, b in edges if a is not None and a != b]
     assert got == brute_components(real, {x for e in real for x in e})
@@ -243,6 +245,69 @@ def test_statistics_and_verdicts(spark):
     assert got == want
 
 
+def brute_cover(cuts, counts, names, precision, least, most_conditions, most_rules):
+    """Sequential covering, condition by condition, over plain rows."""
+    rows = [(dict(zip(names, c[: len(names)], strict=True)), c[len(names)], c[-2], c[-1]) for c in counts]
+    literals = [(n, up, k) for n, values in zip(names, cuts, strict=True) for k in range(1, len(values) + 1) for up in (True, False)]
+
+    def hit(row, literal):
+        n, up, k = literal
+        return row[0][n] >= k if up else row[0][n] < k
+
+    def total(some):
+        return sum(r[3] for r in some), sum(r[2] for r in some)
+
+    out = []
+    while len(out) < most_rules and total([r for r in rows if not r[1]])[0] >= least:
+        grown, left = [], [r for r in rows if not r[1]]
+        while len(grown) < most_conditions and total(left)[1]:
+            p, n = total(left)
+            gains = []
+            for x in literals:
+                a, b = total([r for r in left if hit(r, x)])
+                gains.append(a * (math.log2((a + 1e-9) / (a + b + 1e-9)) - math.log2(p / (p + n))) if a else -1.0)
+            best = max(range(len(literals)), key=lambda i: (round(gains[i], 9), -i))
+            if gains[best] <= 1e-6:
+                break
+            grown.append(literals[best])
+            left = [r for r in left if hit(r, literals[best])]
+        if not grown:
+            break
+
+        def worth(k, grown=grown):
+            p, n = total([r for r in rows if r[1] and all(hit(r, x) for x in grown[:k])])
+            return (p - n) / (p + n) if p + n else -1.0
+
+        keep = max(range(1, len(grown) + 1), key=lambda k: (worth(k), -k))
+        covered = [r for r in rows if all(hit(r, x) for x in grown[:keep])]
+        p, n = total(covered)
+        if p < least or p / (p + n) < precision:
+            break
+        out.append([(n_, up, cuts[names.index(n_)][k - 1]) for n_, up, k in grown[:keep]])
+        rows = [r for r in rows if r not in covered]
+    return out
+
+
+def test_covering_is_that_of_plain_rows():
+    rng, names = random.Random(12), ("one", "two", "three")
+    lengths = set()
+    for _ in range(25):
+        cuts = [sorted(rng.sample(range(100), rng.randint(1, 4))) for _ in names]
+        seen = {}
+        for _ in range(200):
+            at = tuple(rng.randint(0, len(c)) for c in cuts)
+            bad = (at[0] > len(cuts[0]) // 2) ^ (at[1] == 0 and rng.random() < 0.9) if rng.random() < 0.95 else rng.random() < 0.5
+            key = (*at, rng.random() < 1 / 3)
+            good_n, bad_n = seen.get(key, (0, 0))
+            seen[key] = (good_n + (not bad), bad_n + bad)
+        counts = [(*k, *v) for k, v in sorted(seen.items())]
+        got = quality_rules.cover(cuts, counts, names)
+        want = brute_cover(cuts, counts, names, 0.9, 5, 4, 24)
+        assert [[(c.name, c.at_least, c.value) for c in r.conditions] for r in got] == want
+        lengths.add(len(want))
+    assert max(lengths) > 1
+
+
 def test_rules_separate_labels(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     rules = quality_rules.learn_rules(docs, labels)

@@ -18,13 +18,13 @@ def hangul_only(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?U)[^가-힣\s]", " "), r"(?U)\s+", " "))
 
 
-#: White space as the library sees it: Unicode's, and four separators that Java leaves out.
-BLANKS = r"(?U)[\s\x1c-\x1f]+"
+#: White space as the library sees it, Unicode's and four separators, as a character class.
+BLANK_CLASS = r"[ \t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def collapsed(text: Column) -> Column:
     """Runs of white space become one space; ends are trimmed."""
-    return F.trim(F.regexp_replace(text, BLANKS, " "))
+    return F.trim(F.regexp_replace(text, BLANK_CLASS + "+", " "))
 
 
 @F.pandas_udf(T.StringType())

@@ -49,3 +49,41 @@ def test_morph_filter(spark):
     stop = spark.createDataFrame([("멈춤",)], "word string")
     assert {r["word"] for r in vocab.filter_morphs(morphs, stop).collect()} == {"하늘", "빠른"}
     assert {r["word"] for r in vocab.meaning_words(morphs).collect()} == {"하다", "하늘", "빠른", "멈춤"}
+
+
+def test_spellings_of_one_line_are_one_line(spark):
+    import unicodedata
+
+    composed = "하늘이 é 파랗다 a b"
+    rows = [(0, composed), (1, unicodedata.normalize("NFD", composed)), (2, "하늘이  é\u3000파랗다 a b "), (3, "a b c d"), (4, "a  b\tc\x1cd"), (5, "\u212b x"), (6, "Å x"), (7, None), (8, " \u2003")]
+    table = spark.createDataFrame(rows, "line_no int, text string")
+    kept = {r["line_no"]: r["text"] for r in dedup.exact_dedup(table).collect()}
+    assert kept == {0: composed, 3: "a b c d", 5: "Å x"}
+    assert dedup.dedup_counts(table).first() == (9, 3)
+    assert {r["sig"] for r in dedup.with_signature(table.where("line_no in (3, 4)")).collect()} == {dedup.with_signature(table.where("line_no = 3")).first()["sig"]}
+
+
+def test_characters_taken_as_composed_are():
+    import unicodedata
+
+    seconds = {int(d.split()[1], 16) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (d := unicodedata.decomposition(chr(c))) and d[0] != "<" and " " in d}
+    for low, high in st.COMPOSED:
+        for c in range(low, high + 1):
+            assert unicodedata.normalize("NFC", chr(c)) == chr(c) and not unicodedata.combining(chr(c)) and c not in seconds
+
+
+def test_words_travel_or_are_joined(spark, monkeypatch):
+    rows = spark.createDataFrame([(0, ["a", "b", "a", "c"]), (1, []), (2, ["x"]), (3, ["b", "b", "c", "a", "b"])], "line_no long, tokens array<string>")
+    made = []
+    for most in (500_000, 0):
+        monkeypatch.setattr(vocab, "MOST_WORDS", most)
+        made.append({r["line_no"]: r["tokens"] for r in vocab.filtered_bigrams(rows, min_freq=2, min_bigram=2, min_tokens=0).collect()})
+    assert made[0] == made[1] == {0: ["a", "b", "a", "c", "a_b"], 1: [], 2: [], 3: ["b", "b", "c", "a", "b", "a_b"]}
+
+
+def test_first_texts(spark):
+    from inkfold.operators import scoring
+
+    rows = spark.createDataFrame([(c, t, "x") for c in (1, 2) for t in range(0, 50, c)], "chat_id int, turn int, text string")
+    got = scoring.first_texts(rows, 7).groupBy("chat_id").agg(F.sort_array(F.collect_list("turn")).alias("t")).collect()
+    assert {r["chat_id"]: r["t"] for r in got} == {1: list(range(7)), 2: list(range(0, 14, 2))}

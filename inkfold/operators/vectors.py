@@ -139,8 +139,8 @@ def normalized(vectors: DataFrame, emb: str = "embedding", soft: bool = False) -
 
 
 def hashed_sample(rows: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """At most n rows, in order of a seeded hash of the key: the same rows whatever the partitions."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    """At most n rows, in order of a seeded digest of the key: the same rows whatever the partitions."""
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), key).limit(n)
 
 
 def pooled(hidden: Column, mask: Column, how: str = "mean") -> Column:

@@ -207,3 +207,8 @@ def category_of_centroids(spark, sf_dir):
 @query("SELECT k::INT AS k, c::INT AS candidate FROM (SELECT k, unnest(list_distinct([k] || list_transform([0.8, 0.9, 1.1, 1.2], lambda r: greatest(2, floor(k * r)::INT)))) AS c FROM range(1, 120, 7) t(k))")
 def k_candidates(spark, sf_dir):
     return spark.createDataFrame([(k, c) for k in range(1, 120, 7) for c in clustering.k_candidates(k)], "k int, candidate int")
+
+
+@query("SELECT vec_id FROM embeddings ORDER BY md5('42:' || vec_id), vec_id LIMIT 100")
+def seeded_sample(spark, sf_dir):
+    return vectors.hashed_sample(table(spark, sf_dir, "embeddings").select("vec_id"), 100, "vec_id")

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -70,35 +69,56 @@ def read_word_embeddings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("token string, emb array<float>").json(path).where("token is not null")
 
 
-def read_npy(spark: SparkSession, path: str) -> DataFrame:
-    """(row_id, emb) from a two-dimensional .npy file; (row_id, label) from a one-dimensional one comes from read_npy_vector.
+def _npy(path: str) -> tuple:
+    """The file system, place, shape, type and first byte of the data of an .npy file, from its header alone."""
+    from numpy.lib import format as npy
+    from pyarrow import fs
 
-    A one-off import: a file is decoded by one task, as its format has no blocks.
-    """
+    files, place = fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
+    with files.open_input_file(place) as f:
+        version = npy.read_magic(f)
+        shape, fortran, dtype = npy.read_array_header_1_0(f) if version == (1, 0) else npy.read_array_header_2_0(f)
+        if fortran and len(shape) > 1 or dtype.hasobject:
+            raise ValueError("rows must lie one after the other, as plain numbers")
+        return files, place, shape, dtype, f.tell()
 
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for raw in pdf["content"]:
-                m = np.load(io.BytesIO(raw), allow_pickle=False)
-                if m.ndim != 2:
-                    raise ValueError(f"a matrix is expected, not {m.ndim} dimensions")
-                for k in range(0, len(m), 4096):
-                    part = m[k : k + 4096].astype(np.float32)
-                    yield pd.DataFrame({"row_id": np.arange(k, k + len(part)), "emb": list(part)})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, "row_id long, emb array<float>")
+def read_npy(spark: SparkSession, path: str, step: int = 65_536) -> DataFrame:
+    """(row_id, emb) from a two-dimensional .npy file, of any size: each task reads its own rows."""
+    shape = _npy(path)[2]
+    if len(shape) != 2:
+        raise ValueError(f"a matrix is expected, not {len(shape)} dimensions")
+    return _ranges(spark, shape[0], step).mapInPandas(_reader(path, shape[1], step, "emb", lambda part: list(part.astype(np.float32))), "row_id long, emb array<float>")
 
 
-def read_npy_vector(spark: SparkSession, path: str) -> DataFrame:
-    """(row_id, label) from a one-dimensional .npy file of whole numbers."""
+def read_npy_vector(spark: SparkSession, path: str, step: int = 1_000_000) -> DataFrame:
+    """(row_id, label) from a one-dimensional .npy file of whole numbers, of any size."""
+    shape = _npy(path)[2]
+    if len(shape) != 1:
+        raise ValueError(f"a vector is expected, not {len(shape)} dimensions")
+    return _ranges(spark, shape[0], step).mapInPandas(_reader(path, 1, step, "label", lambda part: part[:, 0].astype(np.int64)), "row_id long, label long")
 
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for raw in pdf["content"]:
-                v = np.load(io.BytesIO(raw), allow_pickle=False).reshape(-1).astype(np.int64)
-                yield pd.DataFrame({"row_id": np.arange(len(v)), "label": v})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, "row_id long, label long")
+def _ranges(spark: SparkSession, n: int, step: int) -> DataFrame:
+    """(id): the first row of each run of rows, one run to a partition."""
+    return spark.range(0, n, step, max(1, -(-n // step)))
+
+
+def _reader(path: str, width: int, step: int, name: str, shown: Callable[[np.ndarray], object]) -> Callable:
+    """First rows in, rows of the file out."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, place, shape, dtype, begin = _npy(path)
+        size = width * dtype.itemsize
+        with files.open_input_file(place) as f:
+            for pdf in frames:
+                for first in pdf["id"].tolist():
+                    n = min(step, shape[0] - first)
+                    f.seek(begin + first * size)
+                    part = np.frombuffer(f.read(n * size), dtype).reshape(n, width)
+                    yield pd.DataFrame({"row_id": np.arange(first, first + n), name: shown(part)})
+
+    return run
 
 
 def read_super_map(spark: SparkSession, path: str) -> DataFrame:

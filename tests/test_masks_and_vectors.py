@@ -87,3 +87,39 @@ def test_euclidean_silhouette_reads_every_row(spark):
     few = rows.where("vec_id < 40")
     assert abs(clustering.silhouette_euclid(few, block=9).first()[0] - clustering.silhouette_euclid(few).first()[0]) < 1e-12
     assert clustering.silhouette_euclid(rows.where("cluster_id = 1 and vec_id < 40")).first()[0] == 0.0
+
+
+def plain_coco(counts):
+    out = []
+    for i, c in enumerate(counts):
+        x = c - (counts[i - 2] if i > 2 else 0)
+        while True:
+            bits, x = x & 31, x >> 5
+            more = x != (-1 if bits & 16 else 0)
+            out.append(chr(48 + bits + (32 if more else 0)))
+            if not more:
+                break
+    return "".join(out)
+
+
+def test_compressed_run_lengths(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, rng.integers(0, 10 ** int(rng.integers(1, 7)), int(rng.integers(0, 30))).tolist()) for k in range(60)] + [(90, None), (91, [])]
+    got = spark.createDataFrame(rows, "mask_id int, counts array<long>").select("mask_id", masks.coco_counts("counts").alias("c")).collect()
+    assert {r["mask_id"]: r["c"] for r in got} == {k: None if c is None else plain_coco(c) for k, c in rows}
+
+
+def test_sweep_and_spectral_groups(spark):
+    rng = np.random.default_rng(5)
+    middles = rng.normal(size=(4, 6)) * 5
+    rows = [(i, (middles[i % 4] + rng.normal(size=6) * 0.2).tolist()) for i in range(120)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    best, report, (centers, labelled) = clustering.k_sweep(table, 4, sample=80)
+    assert [k for k, _, _ in report] == clustering.k_candidates(4) and best == max(report, key=lambda r: r[1])[0] == 4
+    groups = {}
+    for r in labelled.collect():
+        groups.setdefault(r["cluster_id"], set()).add(r["vec_id"] % 4)
+    assert centers.count() == 4 and all(len(g) == 1 for g in groups.values())
+    edges = spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0), (0, 2, 1.0), (3, 4, 1.0), (4, 5, 1.0), (3, 5, 1.0), (2, 3, 0.01)], "a int, b int, w double")
+    found = {r["cluster_id"]: r["super_id"] for r in clustering.spectral_groups(edges, 2).collect()}
+    assert len(found) == 6 and set(found.values()) <= {0, 1}

@@ -125,6 +125,11 @@ def _near(token: bytes, shape: str) -> str:
     return token.decode("latin-1") if len(token) == 1 else shape[:3]
 
 
+def _is_key(near: str) -> bool:
+    """Whether a neighbour announces a secret; a K alone is the letter."""
+    return len(near) > 1 and near[0] == "K"
+
+
 def pieces_of(text: bytes) -> tuple[int, list[bytes]]:
     """Where the first token begins, and all tokens with the white space after them."""
     lead = len(text) - len(text.lstrip(SPACE))
@@ -142,7 +147,7 @@ def features(text: bytes) -> list[list[str]]:
     for i, (t, shape) in enumerate(zip(tokens, shapes, strict=True)):
         own = _own(t, shape)
         near = seen[i : i + 3]
-        key = int(any(s[0] == "K" for s in near if s))
+        key = int(any(_is_key(s) for s in near))
         glued = int(i > 0 and len(found[i - 1]) == len(tokens[i - 1]))
         out.append([*own, f"{own[4]}{own[5]}{own[6]}{own[2]}", "b", f"p{near[2]}", f"q{near[1]}", f"r{seen[i + 4]}", f"k{key}", f"{own[0]}{own[1]}k{key}", f"g{glued}", f"g{glued}p{near[2]}", *file])
     return out
@@ -201,7 +206,7 @@ class Field:
                 if alike is None:
                     fixed = self._sum([*own, f"{own[4]}{own[5]}{own[6]}{own[2]}", "b"])
                     big = own[0] + own[1]
-                    alike = (*fixed.tolist(), *self._sum([big + "k0"]).tolist(), *self._sum([big + "k1"]).tolist(), self.near_id.get(near, 0), int(near[:1] == "K"))
+                    alike = (*fixed.tolist(), *self._sum([big + "k0"]).tolist(), *self._sum([big + "k1"]).tolist(), self.near_id.get(near, 0), int(_is_key(near)))
                     self.alike[own, near] = alike
                 self.known[t] = row = alike
                 self.held += len(t)

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkfold.operators.storage import stored
+
 
 def encode_rle(pixels: DataFrame, height: Column, key: str = "mask_id") -> DataFrame:
     """(key, counts): run lengths in column order, starting with a run of zeros. pixels: (key, y, x, on), every pixel once."""
@@ -364,18 +366,19 @@ def generate_masks(
     sizes = images.select("image_id", F.col("height").cast("int").alias("height"), F.col("width").cast("int").alias("width"))
     crops = crop_boxes(sizes, layers, overlap_ratio).withColumn("crop_id", F.concat_ws("_", "layer", "x0", "y0", "x1", "y1"))
     points = scaled_points(layer_grids(spark, side, layers, grid_scale), crops).select("image_id", "crop_id", "layer", "x0", "y0", "x1", "y1", "px", "py")
-    found = quality_filter(propose(images, points).withColumnsRenamed({"iou": "predicted_iou", "stability": "stability_score"}), iou, stable)
+    # the model runs once
+    found = stored(quality_filter(propose(images, points).withColumnsRenamed({"iou": "predicted_iou", "stability": "stability_score"}), iou, stable))
     named = found.withColumn("mask_id", F.concat_ws("/", F.col("image_id").cast("string"), "crop_id", F.col("px").cast("string"), F.col("py").cast("string"), F.md5(F.to_json("counts"))))
     framed = named.join(crops.select("image_id", "crop_id", *(F.col(c).alias(f"crop_{c}") for c in ("x0", "y0", "x1", "y1"))), ["image_id", "crop_id"]).join(sizes, "image_id")
     boxed = framed.join(boxes_of_runs(framed.select("mask_id", "counts", (F.col("crop_y1") - F.col("crop_y0")).alias("height"))), "mask_id")
     edge = near_crop_edge(("x0", "y0", "x1", "y1"), ("crop_x0", "crop_y0", "crop_x1", "crop_y1"), ("__0", "__0", "width", "height"))
-    kept = with_box(boxed.withColumn("__0", F.lit(0)).where(~edge).drop("__0"))
+    kept = stored(with_box(boxed.withColumn("__0", F.lit(0)).where(~edge).drop("__0")))
     once = suppress(kept.select(F.concat_ws("|", F.col("image_id").cast("string"), "crop_id").alias("group"), F.col("mask_id").alias("box_id"), "x0", "y0", "x1", "y1", F.col("predicted_iou").alias("score")), box_threshold, "group")
     kept = kept.join(once.select(F.col("box_id").alias("mask_id")), "mask_id", "left_semi")
     whole = uncropped_masks(kept.select("mask_id", "counts", "crop_x0", "crop_y0", "crop_x1", "crop_y1", "height", "width"))
     moved = [(F.col(c) + F.col(f"crop_{c[0]}0")).alias(c) for c in ("x0", "y0", "x1", "y1")]
     rest = [c for c in kept.columns if c not in ("counts", "x0", "y0", "x1", "y1", "area")]
-    full = kept.select(*rest, *moved).join(whole, "mask_id")
+    full = stored(kept.select(*rest, *moved).join(whole, "mask_id"))
     if layers:
         across = crop_suppress(full.select("image_id", F.col("mask_id").alias("box_id"), "x0", "y0", "x1", "y1", "crop_x0", "crop_y0", "crop_x1", "crop_y1"), crop_threshold)
         full = full.join(across.select(F.col("box_id").alias("mask_id")), "mask_id", "left_semi")

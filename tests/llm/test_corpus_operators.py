@@ -504,7 +504,11 @@ def test_tree_predicts_what_the_weighted_sum_says():
     for ctx, byte in ((b"ab", ord("r")), (b"ra", ord(" ")), (b"zz", ord("a")), (b"xb", ord("r")), (b"ab", 200), (b"\n\n", ord("a"))):
         code = np.array([ctx[0] << 16 | ctx[1] << 8 | byte], np.uint64)
         assert abs(tree.log2(code)[0] - predict(ctx, byte)) < 1e-5
-        assert abs(context_tree.Scorer(tree, 4)(code)[0] - tree.log2(code)[0]) < 1e-12
+    logs = tree.log2(grams)
+    for slots in (1, 4, 12):
+        table_ = context_tree.Table(grams[::-1], logs[::-1], slots)
+        assert (table_.log2(grams) == logs).all() and np.isnan(table_.log2(np.array([1, 2], np.uint64))).all()
+    assert np.isnan(context_tree.Table(grams[:0], logs[:0], 4).log2(grams)).all()
     every = np.arange(256, dtype=np.uint64) | np.uint64(ord("a") << 16 | ord("b") << 8)
     assert abs(np.exp2(tree.log2(every)).sum() - 1) < 1e-5
 

@@ -183,9 +183,8 @@ class Field:
         self.ids: dict[bytes, int] = {}
         self.known: dict[bytes, tuple] = {}
         self.alike: dict[tuple, tuple] = {}
-        self.rows: list[tuple] = []
         self.held = 0
-        self.table: tuple | None = None
+        self.table, self.used = np.zeros((4096, 12), np.int64), 0
 
     def _sum(self, names: list[str]) -> np.ndarray:
         found = [v for n in names if (v := self.emit.get(n)) is not None]
@@ -194,6 +193,7 @@ class Field:
     def _learn(self, pieces: set[bytes]) -> None:
         if len(self.ids) + len(pieces) > self.kept or self.held > self.kept_bytes:
             self._forget()
+        rows = []
         for p in pieces:
             if p in self.ids:
                 continue
@@ -210,12 +210,16 @@ class Field:
                     self.alike[own, near] = alike
                 self.known[t] = row = alike
                 self.held += len(t)
-            self.ids[p] = len(self.rows)
-            self.rows.append((*row, int(len(t) == len(p))))
+            self.ids[p] = self.used + len(rows)
+            rows.append((*row, int(len(t) == len(p))))
             self.held += len(p)
-            self.table = None
-        if self.table is None:
-            self.table = np.array(self.rows, np.int64).reshape(-1, 12)
+        if not rows:
+            return
+        end = self.used + len(rows)
+        if end > len(self.table):
+            self.table = np.concatenate([self.table[: self.used], np.zeros((2 * end - self.used, 12), np.int64)])
+        self.table[self.used : end] = rows
+        self.used = end
 
     def scores(self, texts: list[bytes], found: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """Scores [token, tag] of all tokens of all texts, and which tokens begin a text."""
@@ -527,7 +531,7 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         field = resident(name, lambda: field)
         return {"spans": [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in found] for found in find_spans(field, texts)]}
 
-    return map_texts(id_text(docs, id_col, text_col), run, [T.StructField("spans", SPAN)], piece_bytes=1_000_000)
+    return map_texts(id_text(docs, id_col, text_col), run, [T.StructField("spans", SPAN)], piece_bytes=2_000_000)
 
 
 def redacted(text: str, spans: list[tuple[str, int, int]], mark: str = "[secret]") -> str:
@@ -549,7 +553,7 @@ def redact_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
         field = resident(name, lambda: field)
         return {"__clean": [None if t is None else redacted(t.decode(), spans) if spans else t.decode() for t, spans in zip(texts, find_spans(field, texts), strict=True)]}
 
-    made = map_texts(docs.withColumn("__scan", F.col(text_col)).drop(text_col), run, [T.StructField("__clean", T.StringType())], "__scan", piece_bytes=1_000_000)
+    made = map_texts(docs.withColumn("__scan", F.col(text_col)).drop(text_col), run, [T.StructField("__clean", T.StringType())], "__scan", piece_bytes=2_000_000)
     return made.select(*(F.col("__clean").alias(c) if c == text_col else F.col(c) for c in docs.columns))
 
 
